@@ -307,7 +307,7 @@ def fx_iou(t):
                     F.round(G.inside_share(a, r), 6).alias("inside"))
 
 
-LATEX_TEXT = r"""'$$ \\left( \\mathrm{' || replace(p_name, ' ', '} \\, {') || '}_{' || CAST(p_size AS STRING) || '} \\right) \; & = \\operatorname{f} ^{x}$$'"""
+LATEX_TEXT = r"""'$$ \\left( \\mathrm{' || replace(p_name, ' ', '} \\, {') || '}_{' || CAST(p_size AS STRING) || '} \\right) \\; & = \\operatorname{f} ^{x}$$'"""
 LATEX_DUCK = LATEX_TEXT.replace("\\\\", "\\")
 NORM_DUCK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(
   replace(replace(replace(regexp_replace(regexp_replace(x[3:length(x) - 2], '\\operatorname\s*\{([^}]*)\}', '\1', 'g'), '\\(?:mathrm|text|mathbf|mathit|boldsymbol)\s*\{([^}]*)\}', '\1', 'g'), '\left', ''), '\right', ''), '&', ''), '\\', ''),
