@@ -44,16 +44,16 @@ def ordered_scan(
     running, running_max = dict(running or {}), dict(running_max or {})
     last, lag, lead = dict(last or {}), dict(lag or {}), dict(lead or {})
     keys, order = list(keys), list(order)
-    ck = chunk if isinstance(chunk, str) else "__chunk"
-    d = df if isinstance(chunk, str) else df.withColumn("__chunk", chunk)
+    ck = chunk if isinstance(chunk, str) else "__scan_chunk"
+    d = df if isinstance(chunk, str) else df.withColumn("__scan_chunk", chunk)
     inputs = {}
     for group, cols in (("s", running), ("m", running_max), ("l", last), ("g", lag), ("d", lead)):
         for i, (name, col) in enumerate(cols.items()):
-            inputs[(group, name)] = f"__{group}{i}"
-            d = d.withColumn(f"__{group}{i}", col)
+            inputs[(group, name)] = f"__scan_{group}{i}"
+            d = d.withColumn(f"__scan_{group}{i}", col)
 
     pos = F.struct(*[F.col(c) for c in order])
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs = [F.count(F.lit(1)).alias("__scan_n")]
     for (group, _name), c in inputs.items():
         if group == "s":
             aggs.append(F.sum(c).alias(f"{c}_t"))
@@ -68,7 +68,7 @@ def ordered_scan(
     summary = d.groupBy(*keys, ck).agg(*aggs)
     by_chunk = Window.partitionBy(*keys).orderBy(ck)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n_in")]
+    carry = [F.coalesce(F.sum("__scan_n").over(before), F.lit(0)).alias("__scan_n_in")]
     for (group, _name), c in inputs.items():
         if group == "s":
             carry.append(F.sum(f"{c}_t").over(before).alias(f"{c}_in"))
@@ -84,9 +84,9 @@ def ordered_scan(
 
     w = Window.partitionBy(*keys, ck).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = [F.row_number().over(w).alias("__rn")]
+    local = [F.row_number().over(w).alias("__scan_rn")]
     if lead:
-        local.append((F.lead(F.lit(1)).over(w).isNull()).alias("__edge"))
+        local.append((F.lead(F.lit(1)).over(w).isNull()).alias("__scan_edge"))
     for (group, _name), c in inputs.items():
         if group == "s":
             local.append(F.sum(c).over(upto).alias(f"{c}_w"))
@@ -102,7 +102,7 @@ def ordered_scan(
 
     out = [F.col(c) for c in df.columns]
     if row_number:
-        out.append((F.col("__rn") + F.col("__n_in")).cast("bigint").alias(row_number))
+        out.append((F.col("__scan_rn") + F.col("__scan_n_in")).cast("bigint").alias(row_number))
     for (group, name), c in inputs.items():
         w_, in_ = F.col(f"{c}_w"), F.col(f"{c}_in")
         if group == "s":
@@ -113,9 +113,9 @@ def ordered_scan(
         elif group == "l":
             v = F.coalesce(w_, in_)
         elif group == "g":
-            v = F.when(F.col("__rn") == 1, in_["v"]).otherwise(w_)
+            v = F.when(F.col("__scan_rn") == 1, in_["v"]).otherwise(w_)
         else:
-            v = F.when(F.col("__edge"), in_["v"]).otherwise(w_)
+            v = F.when(F.col("__scan_edge"), in_["v"]).otherwise(w_)
         out.append(v.alias(name))
     return j.select(*out)
 

@@ -111,7 +111,7 @@ CITE_TEXT = "'see [k' || CAST(p_size AS STRING) || ', smith' || CAST(p_partkey A
 @query("obj_citation", """WITH p AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, CAST(p_partkey AS VARCHAR) AS k FROM part)
 SELECT p_partkey, 'k' || s AS citekey, 5 AS "offset", 1 + length(s) AS length FROM p
 UNION ALL SELECT p_partkey, 'smith' || k, 8 + length(s), 5 + length(k) FROM p
-UNION ALL SELECT p_partkey, 'ab', 14 + length(s) + length(k) + 29, 2 FROM p""")
+UNION ALL SELECT p_partkey, 'ab', 46 + length(s) + length(k), 2 FROM p""")
 def obj_citation(t):
     d = t.part.selectExpr("p_partkey", f"{CITE_TEXT} AS text")
     return O.citations(d, "p_partkey", "text")
@@ -199,7 +199,7 @@ def obj_promote_clean(t):
     return p.select("doc_id", F.md5("text").alias("h"), F.col("text_raw").isNotNull().alias("replaced"))
 
 
-@query("lst_nest", f"""WITH {TYPED}, i AS (SELECT doc_id, page, line_index, CASE line_index % 4 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE line_index % 4 + 1 END AS depth, type FROM typed)
+@query("lst_nest", f"""WITH {TYPED}, i AS (SELECT doc_id, page, line_index, CASE line_index % 4 WHEN 0 THEN 1 ELSE least(line_index % 4 + 1, 3) END AS depth, type FROM typed)
 SELECT doc_id, page, line_index, CAST(depth AS INT) AS depth FROM i""")
 def lst_nest(t):
     d = typed_lines(t).select("doc_id", "page", "line_index", F.lit("•").alias("marker"), F.when(F.col("line_index") % 4 == 3, 0.15).otherwise((F.col("line_index") % 4) * 0.1).alias("indent"))
