@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import gram_rows
 
 PREFERRED, SYNONYM, PHRASE_BOOST = 1.0, 0.7, 1.3
+MAX_SCHEMES = 1000
 
 
 def compile_index(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +44,9 @@ def federated(hits: DataFrame, key: list[str], texts: DataFrame, schemes: DataFr
     ``schemes`` is the small table of scheme names, so the frame of text and scheme is an explode, not a product of tables.
     """
     best = hits.groupBy(*key, "scheme").agg(F.max_by(F.struct("code", "score"), F.struct(F.round("score", 9), F.col("code"))).alias("b"))
-    names = [r[0] for r in schemes.select("scheme").distinct().orderBy("scheme").limit(1000).collect()]
+    names = [r[0] for r in schemes.select("scheme").distinct().limit(MAX_SCHEMES + 1).collect()]
+    if len(names) > MAX_SCHEMES:
+        raise ValueError("more schemes than a federation holds")
+    names.sort()
     frame = texts.select(*key, F.explode(F.array(*[F.lit(x) for x in names])).alias("scheme"))
     return frame.join(best, [*key, "scheme"], "left").select(*key, "scheme", F.col("b.code").alias("code"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
