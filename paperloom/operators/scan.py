@@ -132,3 +132,11 @@ def ordered_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text:
     item = F.struct(*[F.col(c) for c in order], F.col(text).alias("__text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__text"]), sep)
     return df.groupBy(*keys).agg(joined.alias(alias), *extra)
+
+
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, shard: Column, rank: str = "rank", shards: int = 64) -> DataFrame:
+    """The k first rows of every key: each shard of a key keeps its own k, then the k best of those are numbered."""
+    part = F.pmod(F.xxhash64(shard), F.lit(shards))
+    few = df.withColumn("__shard", part).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__shard").orderBy(*order))).where(F.col("__r") <= k)
+    out = few.drop("__shard", "__r").withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return out.where(F.col(rank) <= k)
