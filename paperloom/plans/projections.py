@@ -8,12 +8,10 @@ from paperloom.functions import geometry as G
 from paperloom.operators import projections as R
 from paperloom.operators.scan import chunk_of
 from paperloom.plans import duck
-from paperloom.plans.base import BOX_SQL, LINE_TYPE, TYPED, boxes, typed_lines
+from paperloom.plans.base import BOX_SQL, TYPED, boxes, typed_lines
 from paperloom.plans.registry import query
 from paperloom.sources.lines import text_lines
 
-del LINE_TYPE
-
 
 @query("flt_type", f"WITH {TYPED} SELECT doc_id, pos, page FROM typed WHERE type IN ('section_header', 'title')")
 def flt_type(t):
