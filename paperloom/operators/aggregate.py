@@ -29,13 +29,12 @@ def margin(m: Column, k: Column) -> Column:
     return F.struct((m >= k).alias("passed"), (m - k).alias("margin"))
 
 
-def kth_best(df: DataFrame, keys: list[str], value: str, k: int, alpha: float, shards: int = 32) -> DataFrame:
+def kth_best(df: DataFrame, keys: list[str], value: str, k: int, alpha: float) -> DataFrame:
     """k-th best value plus ``alpha`` times the surplus count, null below k values.
 
-    Each shard of a key keeps its k best values; only those meet.
+    Each input split keeps the k best values of a key; only those meet. The split number is the same when a task runs again.
     """
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
-    d = df.select(*keys, F.col(value).alias("__v")).withColumn("__s", part)
+    d = df.select(*keys, F.col(value).alias("__v")).withColumn("__s", F.spark_partition_id())
     top = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(F.desc("__v")))).where(F.col("__r") <= k)
     best = top.groupBy(*keys).agg(F.sort_array(F.collect_list("__v"), asc=False).alias("__l"))
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
