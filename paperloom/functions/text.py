@@ -57,10 +57,11 @@ def with_bigrams(toks: Column) -> Column:
     return F.when(F.size(toks) > 1, F.concat(toks, pairs)).otherwise(toks)
 
 
-def gram_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row per unigram and bigram. The tokens are a column of their own, so the folding runs once per text."""
-    toks = df.select(*keys, fold_tokens(F.col(text)).alias("__t"))
-    return toks.select(*keys, F.explode(with_bigrams(F.col("__t"))).alias("gram"))
+def gram_rows(df: DataFrame, keys: list[str], text: str, distinct: bool = False) -> DataFrame:
+    """One row per unigram and bigram, distinct inside the row if asked. The tokens are a column of their own, so the
+    folding runs once per text."""
+    toks = df.select(*keys, fold_tokens(F.col(text)).alias("__t")).select(*keys, with_bigrams(F.col("__t")).alias("__g"))
+    return toks.select(*keys, F.explode(F.array_distinct("__g") if distinct else F.col("__g")).alias("gram"))
 
 
 def squeeze(s: Column) -> Column:

@@ -219,7 +219,8 @@ def deepest_region(boxes: DataFrame, regions: DataFrame, page: list[str], step:
     found once on the regions, not per box.
     """
     p = G.bucket_join(boxes, regions, page, step)
-    hold = p.where(G.contains(G.corners("r_"), G.corners())).select(*page, "id", "r_id")
+    p = checkpointed(p.select(*page, "id", "r_id", G.contains(G.corners("r_"), G.corners()).alias("__in")))
+    hold = p.where("__in").select(*page, "id", "r_id")
     inner = regions.select(*page, F.col("r_id").alias("id"), *[F.col(f"r_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
     nest = containing(inner, regions, page, step).where("id <> r_id").select(*page, F.col("id").alias("inner_id"), "r_id")
     outer_hit = hold.join(nest, [*page, "r_id"]).join(hold.select(*page, "id", F.col("r_id").alias("inner_id")), [*page, "id", "inner_id"]).select(*page, "id", "r_id").distinct()

@@ -26,11 +26,12 @@ def compile_index(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def concept_hits(texts: DataFrame, key: list[str], posting: DataFrame, idf: DataFrame) -> DataFrame:
-    """Score of every concept that shares a gram with a text; distinct grams count once per text."""
-    index = posting.join(idf, ["scheme", "gram"]).select("scheme", "gram", "code", (F.col("weight") * F.col("idf")).alias("s"))
-    grams = gram_rows(texts, key, "text").distinct()
+    """Score of every concept that shares a gram with a text; a gram counts once per text. ``key`` names one row of texts."""
+    index = posting.join(idf, ["scheme", "gram"]).select(
+        "scheme", "gram", "code", (F.col("weight") * F.col("idf")).alias("s"), F.col("gram").contains(" ").alias("__p"))
+    grams = gram_rows(texts, key, "text", distinct=True)
     return grams.join(index, "gram").groupBy(*key, "scheme", "code").agg(
-        F.sum("s").alias("score"), F.max(F.col("gram").contains(" ")).alias("phrase"), F.countDistinct("gram").alias("grams"))
+        F.sum("s").alias("score"), F.max("__p").alias("phrase"), F.count("*").alias("grams"))
 
 
 def top_concepts(hits: DataFrame, key: list[str], k: int) -> DataFrame:

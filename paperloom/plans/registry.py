@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 class Tables:
-    """Attribute access to the parquet tables of one folder."""
+    """Attribute access to the parquet tables of one folder.
+
+    Text tables do a lot of work per row. A file with fewer row groups than the session has slots is spread over them; a
+    table of many files is read as it is.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -20,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def query(key: str, sql: str | None = None):

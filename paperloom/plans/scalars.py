@@ -450,9 +450,10 @@ u AS (SELECT doc_id, unnest(l) AS gram FROM g UNION ALL
   SELECT doc_id, l[i] || ' ' || l[i + 1] FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM g))
 SELECT doc_id, count(*) AS grams, count(DISTINCT gram) AS kinds, min(gram) AS first, max(gram) AS last FROM u GROUP BY doc_id""")
 def fx_fold(t):
-    g = T.gram_rows(t.documents, ["doc_id"], "text")
-    return g.groupBy("doc_id").agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("kinds"),
-                                   F.min("gram").alias("first"), F.max("gram").alias("last"))
+    toks = t.documents.select("doc_id", T.fold_tokens(F.col("text")).alias("toks"))
+    g = toks.select("doc_id", F.inline(F.array(F.struct(T.with_bigrams(F.col("toks")).alias("g")))))
+    return g.where(F.size("g") > 0).select("doc_id", F.size("g").cast("bigint").alias("grams"), F.size(F.array_distinct("g")).cast("bigint").alias("kinds"),
+                                           F.array_min("g").alias("first"), F.array_max("g").alias("last"))
 
 
 CAPS_TEXT = "'by ' || upper(p_name) || ' and ISBN AND XIV then CAT or THE ' || upper(p_type) || ' OF, J. Smith and ' || initcap(p_name)"

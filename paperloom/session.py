@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", app: str = "paperloom", shuffle_partiti
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -45,10 +46,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has task slots. A large table is left as it is."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
+    """Spread a small scan over the task slots; a table above ``small`` bytes has splits enough and is left as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -32,9 +32,9 @@ WORD_COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_n
 
 def word_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
     """TSV lines to typed rows of all five levels; header, short and unreadable rows are dropped."""
-    f = rows.select(key, F.split(F.col(value), "\t", -1).alias("f")).where(F.size("f") >= len(WORD_COLUMNS))
-    cols = [F.get("f", F.lit(i)).try_cast("int" if i < 6 else "double").alias(c) for i, c in enumerate(WORD_COLUMNS[:-1])]
-    t = f.select(key, *cols, F.get("f", F.lit(11)).alias("text"))
+    schema = ", ".join(f"`{c}` {'int' if i < 6 else 'string' if c == 'text' else 'double'}" for i, c in enumerate(WORD_COLUMNS))
+    # The row is parsed once; the generator keeps the filters below from parsing it again.
+    t = rows.select(key, F.inline(F.array(F.from_csv(F.col(value), schema, {"sep": "\t", "quote": "", "mode": "PERMISSIVE"}))))
     return t.where("level IS NOT NULL AND page_num IS NOT NULL AND left IS NOT NULL AND top IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
 
 
