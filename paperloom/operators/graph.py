@@ -209,3 +209,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def relate_once(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["subject", "predicate", "object"])
+
+
+def render(nodes: DataFrame, evidence: DataFrame, edges: DataFrame, props: list[str]) -> DataFrame:
+    """Graph as text lines for a reader: one line per entity with the best values of its key properties, one per relation."""
+    best = evidence.where(F.col("prop").isin(props)).groupBy("id", "prop").agg(F.max_by("value", F.struct("confidence", "value")).alias("v"))
+    said = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prop", "v"))), lambda x: F.concat(x["prop"], F.lit(": "), x["v"])), "; ").alias("__s"))
+    head = nodes.join(said, "id", "left").select("id", F.lit(0).alias("section"), F.concat(F.lit("- "), F.col("id"), F.lit(" ("), "type", F.lit(")"), F.coalesce(F.concat(F.lit(" "), "__s"), F.lit(""))).alias("line"))
+    rel = edges.select(F.col("subject").alias("id"), F.lit(1).alias("section"), F.concat(F.lit("  "), "predicate", F.lit(" -> "), "object").alias("line")).distinct()
+    return head.unionByName(rel)
+
+
+def glossary(definitions: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Terms with their first definition and the number of uses. ``definitions``: term, text, seq; ``mentions``: term."""
+    d = definitions.groupBy("term").agg(F.min_by("text", "seq").alias("definition"))
+    u = mentions.groupBy("term").agg(F.count("*").alias("uses"))
+    return d.join(u, "term", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))

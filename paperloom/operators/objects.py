@@ -481,3 +481,19 @@ def math_latex(glyphs: DataFrame, zone: list[str], order: str, table: dict[str,
         sign = F.when(F.col("text") == k, F.lit(v)).otherwise(sign)
     piece = F.when(F.col("level") > 0, F.concat(F.lit("^{"), sign, F.lit("}"))).when(F.col("level") < 0, F.concat(F.lit("_{"), sign, F.lit("}"))).otherwise(sign)
     return ordered_text(glyphs.withColumn("__piece", piece), zone, [order], "__piece", " ", "latex")
+
+
+def glyph_lines(glyphs: DataFrame, page: list[str], indent: float = 1.0, gap_factor: float = 1.5) -> DataFrame:
+    """Lines and paragraphs from characters: ``page keys, x, y`` to one row per line with its paragraph number.
+
+    The body margin is the most frequent left edge of the page. A paragraph starts at an indented line or after a gap
+    wider than ``gap_factor`` times the median line gap. A page is a bounded group.
+    """
+    lines = glyphs.groupBy(*page, "y").agg(F.min("x").alias("x0"), F.count("*").alias("n"))
+    margin = lines.groupBy(*page, "x0").agg(F.count("*").alias("__n")).groupBy(*page).agg(F.min_by("x0", F.struct(-F.col("__n"), "x0")).alias("margin"))
+    w = Window.partitionBy(*page).orderBy("y")
+    d = lines.withColumn("__g", F.col("y") - F.lag("y").over(w))
+    med = d.groupBy(*page).agg(F.median("__g").alias("__m"))
+    d = d.join(margin, page).join(med, page)
+    start = F.col("__g").isNull() | (F.col("x0") > F.col("margin") + indent) | (F.col("__g") > gap_factor * F.col("__m"))
+    return d.withColumn("paragraph", F.sum(F.when(start, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*page, "y", "x0", "n", "margin", "paragraph")

@@ -100,9 +100,11 @@ def first_positions(df: DataFrame, key: list[str], value: Column, pos: str) -> D
     return df.groupBy(*key, value.alias("value")).agg(F.min(pos).alias("first"), F.count("*").alias("uses"))
 
 
-def replace_rows(index: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Re-indexing a document replaces its rows and leaves the others."""
-    return index.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def replace_rows(index: DataFrame, fresh: DataFrame, key: str, indexed: DataFrame | None = None) -> DataFrame:
+    """Re-indexing documents replaces their rows and leaves the others. ``indexed`` names the documents that were indexed
+    again; one of them that has no rows now loses its old ones."""
+    done = (indexed if indexed is not None else fresh).select(key).distinct()
+    return index.join(done, key, "left_anti").unionByName(fresh)
 
 
 def page_window(page: list[str], order: list[Column]):

@@ -161,10 +161,10 @@ def agg_body_left(t):
     return A.index_percentile(t.lineitem, ["l_suppkey", "l_linenumber"], "l_quantity", 0.1)
 
 
-@query("agg_font_vote", """WITH d AS (SELECT source, lang AS label, n_chars % 100 / 100.0 AS conf FROM documents), c AS (SELECT source, label, count(*) AS n, avg(conf) AS mc FROM d GROUP BY ALL), s AS (SELECT source, sum(n) AS total FROM c GROUP BY 1)
+@query("agg_font_vote", """WITH d AS (SELECT source, lang AS label, n_chars % 100 / 128.0 AS conf FROM documents), c AS (SELECT source, label, count(*) AS n, avg(conf) AS mc FROM d GROUP BY ALL), s AS (SELECT source, sum(n) AS total FROM c GROUP BY 1)
 SELECT source, label, n AS votes, CAST(total AS BIGINT) AS total, round(mc, 3) AS mean_conf, round(n / CAST(total AS DOUBLE), 3) AS agreement FROM c JOIN s USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, label) = 1""")
 def agg_font_vote(t):
-    d = t.documents.select("source", F.col("lang").alias("label"), (F.col("n_chars") % 100 / 100.0).alias("conf"))
+    d = t.documents.select("source", F.col("lang").alias("label"), (F.col("n_chars") % 100 / 128.0).alias("conf"))
     return A.dominant_label(d, ["source"], "label", "conf")
 
 

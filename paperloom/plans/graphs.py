@@ -238,16 +238,22 @@ def gr_docgraph(t):
     return links.select(F.lit("link").alias("view"), "key", "n").unionByName(kinds.select(F.lit("type").alias("view"), "key", "n"))
 
 
-@query("gr_render", """SELECT c_custkey, '- ' || c_name || ' (' || c_mktsegment || ')' || coalesce(' orders: ' || n, '') AS line FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+@query("gr_render", """SELECT 'c' || c_custkey AS id, 0 AS section, '- c' || c_custkey || ' (customer) name: ' || c_name || '; segment: ' || c_mktsegment AS line FROM customer
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 1, '  has -> ' || o_orderpriority FROM orders""")
 def gr_render(t):
-    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    d = t.customer.join(n, "c_custkey", "left")
-    return d.select("c_custkey", F.concat(F.lit("- "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")"), F.coalesce(F.concat(F.lit(" orders: "), F.col("n").cast("string")), F.lit(""))).alias("line"))
+    c = t.customer
+    ident = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    prop = lambda n, v: F.struct(F.lit(n).alias("prop"), v.alias("value"))
+    ev = c.select(ident.alias("id"), F.explode(F.array(prop("name", F.col("c_name")), prop("segment", F.col("c_mktsegment")), prop("hidden", F.col("c_name")))).alias("p")).select("id", "p.*", F.lit(0.9).alias("confidence"))
+    e = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.lit("has").alias("predicate"), F.col("o_orderpriority").alias("object"))
+    return G.render(c.select(ident.alias("id"), F.lit("customer").alias("type")), ev, e, ["name", "segment"])
 
 
-@query("gr_glossary", """SELECT p_brand AS term, arg_min(p_name, p_partkey) AS definition, count(*) AS uses FROM part GROUP BY 1""")
+@query("gr_glossary", """SELECT p_brand AS term, arg_min(p_name, p_partkey) AS definition, (SELECT count(*) FROM lineitem JOIN part q ON q.p_partkey = l_partkey WHERE q.p_brand = part.p_brand) AS uses FROM part GROUP BY p_brand""")
 def gr_glossary(t):
-    return t.part.groupBy(F.col("p_brand").alias("term")).agg(F.min_by("p_name", "p_partkey").alias("definition"), F.count("*").alias("uses"))
+    d = t.part.select(F.col("p_brand").alias("term"), F.col("p_name").alias("text"), F.col("p_partkey").alias("seq"))
+    m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("term"))
+    return G.glossary(d, m)
 
 
 @query("gr_view_queries", """SELECT 'children' AS view, o_custkey AS node, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'page', l_linenumber, count(DISTINCT l_partkey) FROM lineitem GROUP BY 2""")

@@ -354,11 +354,13 @@ def obj_text_tokens(t):
     return O.tokens(t.documents, "doc_id", "text").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("obj_text_lines", """WITH e AS (SELECT user_id, event_id, value % 50 AS x0, mode(CAST(value % 50 AS INT)) OVER (PARTITION BY user_id) AS m FROM events)
-SELECT user_id, count(*) AS lines, count(DISTINCT CAST(floor(event_id / 100) AS BIGINT)) AS pages FROM e GROUP BY user_id""")
+@query("obj_text_lines", """WITH l AS (SELECT l_suppkey, l_linenumber, l_quantity AS y, min(round(l_discount * 100)) AS x0, count(*) AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT l_suppkey, l_linenumber, x0 AS margin FROM (SELECT l_suppkey, l_linenumber, x0, count(*) AS c FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY c DESC, x0) = 1),
+g AS (SELECT *, y - lag(y) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY y) AS g FROM l), d AS (SELECT l_suppkey, l_linenumber, median(g) AS md FROM g GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, y, x0, n, margin, CAST(sum(CASE WHEN g IS NULL OR x0 > margin + 1 OR g > 1.5 * md THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY y) AS BIGINT) AS paragraph FROM g JOIN m USING (l_suppkey, l_linenumber) JOIN d USING (l_suppkey, l_linenumber)""")
 def obj_text_lines(t):
-    g = glyphs(t).withColumn("page", F.floor(F.col("event_id") / 100))
-    return g.groupBy("user_id").agg(F.count("*").alias("lines"), F.countDistinct("page").alias("pages"))
+    g = t.lineitem.select("l_suppkey", "l_linenumber", F.col("l_quantity").alias("y"), F.round(F.col("l_discount") * 100).alias("x"))
+    return O.glyph_lines(g, ["l_suppkey", "l_linenumber"])
 
 
 ISLAND = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS span, min(event_id) AS start, max(event_id) AS "end", count(*) AS n FROM

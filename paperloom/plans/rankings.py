@@ -129,7 +129,7 @@ def set_index_replace(t):
     old = t.part.select("p_brand", "p_partkey", F.lit("old").alias("origin"))
     hot = t.part.where("p_size = 50").select("p_brand").distinct()
     fresh = t.part.where("p_type = 'ECONOMY'").join(hot, "p_brand", "left_semi").select("p_brand", "p_partkey", F.lit("new").alias("origin"))
-    return R.replace_rows(old, fresh, "p_brand")
+    return R.replace_rows(old, fresh, "p_brand", hot)
 
 
 @query("set_cited_keys", rf"""WITH {duck.LINES}, k AS (SELECT doc_id, pos, unnest(regexp_extract_all(text, '[A-Z][\p{{L}}]{{5,}}')) AS value FROM doc_line) SELECT doc_id, value, min(pos) AS first, count(*) AS uses FROM k GROUP BY ALL""")
