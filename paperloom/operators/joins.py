@@ -20,7 +20,7 @@ from paperloom.functions.quantity import convert
 from paperloom.functions.spans import explode_spans
 from paperloom.functions.text import number_list
 from paperloom.operators.scan import ordered_scan
-from paperloom.session import checkpointed
+from paperloom.session import bounded, checkpointed
 
 
 def cite_keys(citations: DataFrame, references: DataFrame, doc: str) -> DataFrame:
@@ -334,7 +334,7 @@ def signature_rank(queries: DataFrame, index: DataFrame, k: int | None = 10) ->
     qs = queries.select("query_id", as_set(F.col("lines")).alias("ql"))
     es = index.select("entry_id", as_set(F.col("lines")).alias("el")).withColumn("set_id", F.sha2(F.to_json("el"), 256))
     sets = es.groupBy("set_id").agg(F.first("el").alias("el"))
-    shared = qs.select("query_id", F.size("ql").alias("qn"), F.explode("ql").alias("line")).join(
+    shared = bounded(qs.select("query_id", F.size("ql").alias("qn"), F.explode("ql").alias("line"))).join(
         sets.select("set_id", F.size("el").alias("en"), F.explode("el").alias("line")), "line")
     s = shared.groupBy("query_id", "set_id").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
     s = s.select("query_id", "set_id", F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 4).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import extract as X
 from paperloom.operators.scan import chunk_of, ordered_scan, top_k
+from paperloom.session import bounded
 
 TOKEN = r"\p{L}{2,}"
 
@@ -26,8 +27,9 @@ def scores(units: DataFrame, unit_id: str, text: str, questions: DataFrame, ques
     """Summed idf of the tokens that a unit shares with a question; a pair without a shared token has no row."""
     toks = tokens(units, [unit_id], text)
     q = tokens(questions, [question_id], question).distinct()
+    q = bounded(q)
     wanted = toks.join(q.select("token").distinct(), "token", "left_semi")
-    weighted = q.join(idf(wanted, units), "token")
+    weighted = bounded(q.join(idf(wanted, units), "token"))
     return toks.join(weighted, "token").groupBy(question_id, unit_id).agg(F.sum("idf").alias("score"))
 
 

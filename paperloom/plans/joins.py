@@ -13,6 +13,7 @@ from paperloom.plans import duck
 from paperloom.plans.base import TYPED, typed_lines
 from paperloom.plans.registry import ORACLES, query
 from paperloom.plans.scalars import fx_language
+from paperloom.session import checkpointed
 from paperloom.sources.lines import text_lines
 
 FX_LANGUAGE = ORACLES[fx_language.__name__]
@@ -143,7 +144,7 @@ def box_sides(t):
     b = t.lineitem.selectExpr("l_suppkey", "l_linenumber", "l_orderkey * 8 + l_linenumber AS id", "l_returnflag AS kind", "l_partkey % 10 AS code", "l_quantity * 20 AS x0", "l_discount * 5000 AS y0",
                               "l_quantity * 20 + 40.0D + l_tax * 1000 AS x1", "l_discount * 5000 + 30.0D + l_tax * 500 AS y1")
     body = F.struct("x0", "y0", "x1", "y1", "kind", "code")
-    b = b.groupBy(*PAGE, "id").agg(F.min(body).alias("b")).select(*PAGE, "id", "b.*")
+    b = checkpointed(b.groupBy(*PAGE, "id").agg(F.min(body).alias("b")).select(*PAGE, "id", "b.*"))
     left = b.where("kind <> 'R'").drop("kind")
     right = b.where("kind = 'R'").select(*PAGE, *[F.col(c).alias("r_" + c) for c in ("id", "x0", "y0", "x1", "y1", "code")])
     return left, right

@@ -8,6 +8,7 @@ from paperloom.operators import ranking as R
 from paperloom.plans import duck
 from paperloom.plans.base import TYPED, typed_lines
 from paperloom.plans.registry import query
+from paperloom.session import checkpointed
 from paperloom.sources.lines import text_lines
 
 SCORES = r"""WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS token FROM documents),
@@ -44,11 +45,11 @@ k AS (SELECT * FROM u WHERE used <= {BUDGET} OR rank = 1)
 SELECT item_id, doc_id, rank, cost, CAST(used AS BIGINT) AS used, n - count(*) OVER (PARTITION BY item_id) AS dropped FROM k""")
 def top_context_budget(t):
     """Ranked documents per question while a token budget lasts."""
-    s = R.scores(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").withColumn("score", F.round("score", 6))
+    s = checkpointed(R.scores(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").withColumn("score", F.round("score", 6)))
     total = s.groupBy("item_id").agg(F.count("*").alias("__n"))
     few = R.top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], BUDGET + 1, F.col("doc_id"))
     d = few.join(t.documents.select("doc_id", "n_chars"), "doc_id")
-    kept = R.token_budget(d, "item_id", "rank", F.expr("n_chars div 4 + 1"), BUDGET)
+    kept = checkpointed(R.token_budget(d, "item_id", "rank", F.expr("n_chars div 4 + 1"), BUDGET))
     within = kept.groupBy("item_id").agg(F.count("*").alias("__k"))
     return kept.drop("dropped").join(within, "item_id").join(total, "item_id").select("item_id", "doc_id", "rank", "cost", "used", (F.col("__n") - F.col("__k")).alias("dropped"))
 

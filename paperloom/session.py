@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "paperloom", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,6 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A lookup side of a join, written once and counted: up to ``max_rows`` it is broadcast, beyond that it is shuffled.
+
+    The planner takes an exploded text for as small as its file and may broadcast the wrong side; the count is exact.
+    """
+    d = checkpointed(df)
+    return F.broadcast(d) if d.count() <= max_rows else d
+
+
 def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
     """Spread a small scan over the task slots; a table above ``small`` bytes has splits enough and is left as it is."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
