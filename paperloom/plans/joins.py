@@ -46,18 +46,15 @@ def jn_cite_label(t):
     return J.cite_labels(c, r, "p_brand")
 
 
-NAME = "trim(substr(regexp_replace(lower(text), '[^a-z]+', ' '{g}), 1, 24))"
-NAME_S, NAME_D = NAME.replace("{g}", ""), NAME.replace("{g}", ", 'g'")
-PAIRS_D = f"""n AS (SELECT doc_id, {NAME_D} AS s FROM documents), a AS (SELECT doc_id AS lid, s[1:length(s) - 1] AS ltext FROM n WHERE length(s) > 1), b AS (SELECT DISTINCT s AS rtext FROM n JOIN labels USING (doc_id) WHERE s <> ''),
-da AS (SELECT DISTINCT ltext FROM a), p AS (SELECT ltext, rtext, levenshtein(ltext, rtext) AS d, greatest(length(ltext), length(rtext)) AS m FROM da, b WHERE abs(length(ltext) - length(rtext)) <= 8),
+# Names of a catalogue: part name and type. The candidates lost their last letter.
+PAIRS_D = """n AS (SELECT p_partkey, p_name || ' ' || p_type AS s FROM part), a AS (SELECT p_partkey AS lid, s[1:length(s) - 1] AS ltext FROM n), b AS (SELECT DISTINCT s AS rtext FROM n),
+da AS (SELECT DISTINCT ltext FROM a), p AS (SELECT ltext, rtext, levenshtein(ltext, rtext) AS d, greatest(length(ltext), length(rtext)) AS m FROM da, b),
 """
 
 
 def names(t):
-    n = t.documents.selectExpr("doc_id", f"{NAME_S} AS s")
-    left = n.where("length(s) > 1").selectExpr("doc_id AS lid", "substr(s, 1, length(s) - 1) AS ltext")
-    right = n.join(t.labels, "doc_id").selectExpr("doc_id AS rid", "s AS rtext").where("rtext <> ''")
-    return left, right
+    n = t.part.selectExpr("p_partkey", "p_name || ' ' || p_type AS s")
+    return n.selectExpr("p_partkey AS lid", "substr(s, 1, length(s) - 1) AS ltext"), n.selectExpr("p_partkey AS rid", "s AS rtext")
 
 
 @query("jn_author_match", f"""WITH {PAIRS_D} q AS (SELECT * FROM p WHERE d <= floor(m * 0.2 + 1e-9)),
@@ -68,15 +65,15 @@ def jn_author_match(t):
     return J.best_edit(left, right, 0.8).select("lid", "ltext", "match", F.col("distance").cast("bigint").alias("distance"))
 
 
-FUZZY_D = f"""WITH n AS (SELECT doc_id, array_to_string(list_sort(string_split({NAME_D}, ' ')), ' ') AS s FROM documents), u AS (SELECT s, min(doc_id) AS id FROM n WHERE s <> '' GROUP BY s),
-p AS (SELECT x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS d, greatest(length(x.s), length(y.s)) AS m FROM u x, u y WHERE x.s < y.s AND abs(length(x.s) - length(y.s)) <= 6)
-SELECT a, b, round(1.0 - d / CAST(m AS DOUBLE), 4) AS weight FROM p WHERE d <= floor(m * 0.15 + 1e-9)"""
+FUZZY_D = """WITH u AS (SELECT DISTINCT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), ' ') AS s FROM part),
+p AS (SELECT x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS d, greatest(length(x.s), length(y.s)) AS m FROM u x, u y WHERE x.s < y.s)
+SELECT a, b, round(1.0 - d / CAST(m AS DOUBLE), 4) AS weight FROM p WHERE d <= floor(m * 0.25 + 1e-9)"""
 
 
 @query("jn_fuzzy", FUZZY_D)
 def jn_fuzzy(t):
-    n = t.documents.selectExpr("doc_id", f"{NAME_S} AS s").select("doc_id", S.sorted_tokens(F.col("s")).alias("s")).where("s <> ''")
-    p = J.edit_pairs(n.selectExpr("doc_id AS lid", "s AS ltext"), n.selectExpr("doc_id AS rid", "s AS rtext"), 0.85)
+    n = t.part.select("p_partkey", S.sorted_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
+    p = J.edit_pairs(n.selectExpr("p_partkey AS lid", "s AS ltext"), n.selectExpr("p_partkey AS rid", "s AS rtext"), 0.75)
     return p.where("ltext < rtext").select(F.col("ltext").alias("a"), F.col("rtext").alias("b"), F.round("score", 4).alias("weight"))
 
 

@@ -88,9 +88,9 @@ def win_titles(t):
 
 # --- stacks -------------------------------------------------------------------------------------------------------
 
-# Conversations as page stacks: the turn is the page, numbers and senders follow from the turn.
+# Conversations as page stacks: the turn is the page, its first line the header; numbers and senders follow from the turn.
 STACK_SQL = f"""p AS (SELECT conv_id, turn, CAST(1 + turn % 3 AS INT) AS no, 3 AS total, CASE WHEN turn % 5 > 0 THEN role END AS sender, CASE WHEN turn % 4 = 1 THEN 'N1' WHEN turn % 4 = 2 THEN 'n1 ' END AS number,
-  list_distinct(regexp_extract_all(lower(substr(text, 1, 40)), {duck.quoted(T.WORD2)})) AS head, turn % 6 = 5 AS letterhead FROM conversations),
+  list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), {duck.quoted(T.WORD2)})) AS head, turn % 6 = 5 AS letterhead FROM conversations),
 g AS (SELECT *, lag(turn) OVER w IS NOT NULL AS has, lag(no) OVER w AS pno, lag(total) OVER w AS ptotal, lag(sender) OVER w AS psender, lag(number) OVER w AS pnumber, lag(head) OVER w AS phead FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 s AS (SELECT conv_id, turn, has, CASE WHEN no = 1 AND pno = ptotal THEN 0.97 WHEN no = 1 THEN 0.85 WHEN no = pno + 1 THEN 0.03 WHEN no <= pno THEN 0.8 END AS page_sig,
   CASE WHEN pnumber IS NOT NULL AND number IS NOT NULL THEN CASE WHEN trim(lower(pnumber)) = trim(lower(number)) THEN 0.02 ELSE 0.92 END WHEN psender IS NOT NULL AND sender IS NOT NULL THEN CASE WHEN psender <> sender THEN 1.0 ELSE 0.0 END END AS entity_sig,
@@ -103,7 +103,7 @@ c AS (SELECT conv_id, turn, has, round(coalesce((coalesce(page_sig * 0.30, 0) +
 def stack_signals(t):
     p = t.conversations.select(
         "conv_id", "turn", (1 + F.col("turn") % 3).cast("int").alias("no"), F.lit(3).alias("total"), F.when(F.col("turn") % 5 > 0, F.col("role")).alias("sender"),
-        F.when(F.col("turn") % 4 == 1, "N1").when(F.col("turn") % 4 == 2, "n1 ").alias("number"), T.words(F.substring("text", 1, 40)).alias("head"), (F.col("turn") % 6 == 5).alias("letterhead"))
+        F.when(F.col("turn") % 4 == 1, "N1").when(F.col("turn") % 4 == 2, "n1 ").alias("number"), T.words(F.split_part("text", F.lit("\n"), F.lit(1))).alias("head"), (F.col("turn") % 6 == 5).alias("letterhead"))
     cols = ("turn", "no", "total", "sender", "number", "head")
     g = ordered_scan(p, ["conv_id"], ["turn"], chunk_of("turn", 4), lag={f"p_{c}": F.col(c) for c in cols})
     none = F.lit(None).cast("string")
