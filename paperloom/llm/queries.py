@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import packing, pieces, quality, simhash, token_files, toxicity, vectors, warc
+from paperloom.llm import language_model, packing, pieces, quality, simhash, token_files, toxicity, vectors, warc
 from paperloom.llm.words import held_out
 from paperloom.session import work_folder
 
@@ -72,3 +72,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out("doc_id", 7, 2)
+    model, counts = language_model.train(docs.where(~held).select("text", F.col("doc_id").cast("string").alias("key")))
+    return language_model.score(docs, model, counts).withColumn("held_out", held)
