@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import language_model, packing, pieces, quality, simhash, token_files, toxicity, vectors, warc
+from paperloom.llm import language_model, packing, pieces, quality, rules, simhash, token_files, toxicity, vectors, warc
 from paperloom.llm.words import held_out
 from paperloom.session import work_folder
 
@@ -80,3 +80,8 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out("doc_id", 7, 2)
     model, counts = language_model.train(docs.where(~held).select("text", F.col("doc_id").cast("string").alias("key")))
     return language_model.score(docs, model, counts).withColumn("held_out", held)
+
+
+@query
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("votes")

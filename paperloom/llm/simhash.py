@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.links import components
-from paperloom.llm.words import batch_of, slices, split_words, texts
+from paperloom.llm.words import batch_of, slices, split_words, texts, with_row_id
 from paperloom.session import checkpointed
 
 SEED = 42  # of the shingle hash
@@ -50,15 +50,16 @@ def fingerprints_of(col: pa.Array, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` for each row. A text of fewer words is one shingle, a null or empty one has fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
+    """``doc_id, row, fp`` for each row. A text of fewer words is one shingle, a null or empty one has fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for part in slices(batches, size=4 << 20):
-            yield batch_of(schema, part.column(0), fingerprints_of(texts(part), words))
+            yield batch_of(schema, part.column(0), part.column(1), fingerprints_of(texts(part), words))
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    row = F.lit(0) if row is None else row
+    return docs.select(F.col(key).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def popcounts(fp: Column, half: int) -> list[Column]:
@@ -109,3 +110,16 @@ def representatives(rows: DataFrame, bits: int, first: Column) -> DataFrame:
     named = checkpointed(nodes.join(linked, nodes.fp == linked.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "first"))
     best = named.groupBy("component").agg(F.min("first").alias("first"))
     return named.select("fp", "component").join(best, "component").select("fp", "first")
+
+
+def deduplicated(docs: DataFrame, words: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group stays the row with the smallest key, of equal keys the first.
+
+    All columns stay. ``docs`` must come from files: rows are told apart by their place in the scan, which is read twice. A row
+    with a null key stays only where its whole group has none.
+    """
+    numbered = with_row_id(docs)
+    rows = checkpointed(fingerprints(numbered, words, key, text, F.col("__row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = representatives(rows, bits, first).select(F.col("first.row").alias("__kept")).distinct()
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
