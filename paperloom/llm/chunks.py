@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,12 @@ from paperloom.llm.words import split_words, spread
 
 
 class ChunkTable:
-    """Ids of chunks, kept for later batches of the same task; emptied when it holds ``most`` chunks (it is only a cache)."""
+    """Ids of chunks, kept for later batches of the same task; beyond ``most`` chunks the oldest go (it is only a cache).
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
+    ``encode`` gives the ids of each chunk, as numbers or as bytes, in order or by chunk.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list | dict], most: int = 200_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, chunks: list[str]) -> list[bytes]:
@@ -25,9 +29,14 @@ class ChunkTable:
         new = [c for c in chunks if c not in known]
         if new:
             if len(known) + len(new) > self.most:
-                known.clear()
-                new = chunks
-            known.update(zip(new, (np.asarray(x, dtype="<u4").tobytes() for x in self.encode(new)), strict=True))
+                for c in list(islice(known, max(0, len(known) + len(new) - self.most // 2))):
+                    del known[c]
+                new = [c for c in chunks if c not in known]
+            got = self.encode(new)
+            if isinstance(got, dict):
+                known.update(got)
+            else:
+                known.update(zip(new, (x if isinstance(x, bytes) else np.asarray(x, dtype="<u4").tobytes() for x in got), strict=True))
         return [known[c] for c in chunks]
 
 
@@ -41,20 +50,53 @@ def joined(codes: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[
     return flat[spread(first[codes], n)], ends[offsets]
 
 
+#: A word of letters, with signs behind it or not: two pieces for the splitter. Letters with one lower-case form and no
+#: marks to compose; no apostrophe, which joins what stands behind it.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
     """A tokenizer of the tokenizers library whose pieces never cross ASCII white space, which it drops.
 
     ``plain_specials``: strings of special tokens inside a text are ordinary text. The ids equal those of the library for the
-    whole text, because the normalizer works on single characters and the splitter drops white space.
+    whole text, because the normalizer works on single characters and the splitter drops white space. A word of letters with
+    signs behind it is looked up as two parts; new parts go to the library many at a time, in one text with blanks between,
+    whose ids are cut where a piece ends (each such part ends with the only piece that has the end mark).
     """
 
-    def __init__(self, path: str, plain_specials: bool = True):
+    def __init__(self, path: str, plain_specials: bool = True, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
-        self.table = ChunkTable(lambda words: [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)])
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.table = ChunkTable(self._words, most)
+        self.parts = ChunkTable(self._parts, 2 * most)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        cut = [SIMPLE.fullmatch(w) for w in words]
+        fronts = self.parts.ids([m[1].lower() for m in cut if m])
+        backs = self.parts.ids([m[2] for m in cut if m and m[2]])
+        rest = iter(self.tok.encode_batch_fast([w for w, m in zip(words, cut) if not m], add_special_tokens=False))
+        front, back = iter(fronts), iter(backs)
+        return [next(front) + (next(back) if m[2] else b"") if m else next(rest).ids for m in cut]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        parts = list(dict.fromkeys(parts))
+        out = {}
+        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
+                raw, at = ids.tobytes(), (4 * ends).tolist()
+                out.update(zip(group, (raw[x:y] for x, y in zip([0, *at], at))))
+            else:
+                out.update((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(group, self.tok.encode_batch_fast(group, add_special_tokens=False)))
+        return out
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, offsets, words = split_words(col)

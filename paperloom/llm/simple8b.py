@@ -8,15 +8,18 @@ import numpy as np
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 
 
+#: Bits of each 16-bit value.
+SHORT = np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.uint8)
+
+
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value."""
     v = values.astype(np.uint64)
     out = np.zeros(len(v), dtype=np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        more = v >= np.uint64(1) << np.uint64(shift)
-        out[more] += shift
-        v = np.where(more, v >> np.uint64(shift), v)
-    return out + (v > 0).astype(np.uint8)
+    for shift in (48, 32, 16):
+        part = (v >> np.uint64(shift)).astype(np.uint16)
+        out = np.where((out == 0) & (part > 0), SHORT[part] + np.uint8(shift), out) if part.any() else out
+    return np.where(out == 0, SHORT[v.astype(np.uint16)], out)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

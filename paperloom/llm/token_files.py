@@ -18,7 +18,7 @@ BLOCK = "shard int, block int, first_id long, n_ids long, keys array<long>, size
 ARROW_BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 20, shards: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, shards: int | None = None) -> None:
     """Write the ids of all texts, each followed by ``end_id``, in ascending key order.
 
     A shard is one range of keys and one task; a row of the file is one block: its place, the keys and sizes of its
@@ -33,7 +33,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
 
     def encode(batches):
         tok, shard, first, block = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
-        for part in slices(batches, size=block_bytes):
+        for part in slices(batches, rows=8192, size=block_bytes):
             ids, ends = tok(texts(part))
             sizes = np.diff(ends)
             flat = np.full(len(ids) + len(sizes), end_id, dtype=np.uint32)
