@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.links import components
-from paperloom.llm.words import batch_of, slices, split_words, texts, with_row_id
+from paperloom.llm.words import batch_of, free_name, slices, split_words, texts, with_row_id
 from paperloom.session import checkpointed
 
 SEED = 42  # of the shingle hash
@@ -118,8 +118,9 @@ def deduplicated(docs: DataFrame, words: int = 3, bits: int = 3, key: str = "doc
     All columns stay. ``docs`` must come from files: rows are told apart by their place in the scan, which is read twice. A row
     with a null key stays only where its whole group has none.
     """
-    numbered = with_row_id(docs)
-    rows = checkpointed(fingerprints(numbered, words, key, text, F.col("__row")))
+    at, stay = free_name(docs, "__row"), free_name(docs, "__kept")
+    numbered = with_row_id(docs, at)
+    rows = checkpointed(fingerprints(numbered, words, key, text, F.col(at)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = representatives(rows, bits, first).select(F.col("first.row").alias("__kept")).distinct()
-    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    kept = representatives(rows, bits, first).select(F.col("first.row").alias(stay)).distinct()
+    return numbered.join(kept, F.col(at) == F.col(stay), "left_semi").drop(at)

@@ -19,6 +19,14 @@ def held_out(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
     """A row number that repeats when the frame is computed again. The frame must come from files, not from a shuffle."""
     return df.withColumn(name, F.monotonically_increasing_id())
