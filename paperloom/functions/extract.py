@@ -41,15 +41,18 @@ NOT_A_TOWN = ["kundennummer", "kundennr", "rechnungsnummer", "rechnungsnr", "bit
               "aktenzeichen", "buchungszeichen", "vom", "am"]
 # Function words of seven languages.
 FUNCTION_WORDS = {
-    "en": "the and of to in is that for with you this are be on it as at by your we an",
-    "de": "der die und das ist den von zu mit für sie ein eine auf nicht dem des im ihr wir sich bitte wörtern auch "
-          "oder werden",
-    "fr": "le la les et de des un une est que pour dans avec vous sur ne pas ce qui",
-    "es": "el la los las de que y en un una por con para su no se del es como",
-    "it": "il la di che e un una per con non le si del della sono come anche",
-    "nl": "de het een en van is dat op te niet met zijn voor aan ook wij uw",
-    "pt": "não são uma com dos das para por mais como também ser está pelo pela já mas ao seu sua isso então muito "
-          "conteúdo além",
+    "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "you", "this", "are", "be", "on", "it", "as", "at", "by",
+           "your", "we", "an"],
+    "de": ["der", "die", "und", "das", "ist", "den", "von", "zu", "mit", "für", "sie", "ein", "eine", "auf", "nicht", "dem", "des",
+           "im", "ihr", "wir", "sich", "bitte", "wörtern", "auch", "oder", "werden"],
+    "fr": ["le", "la", "les", "et", "de", "des", "un", "une", "est", "que", "pour", "dans", "avec", "vous", "sur", "ne", "pas",
+           "ce", "qui"],
+    "es": ["el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "por", "con", "para", "su", "no", "se", "del", "es",
+           "como"],
+    "it": ["il", "la", "di", "che", "e", "un", "una", "per", "con", "non", "le", "si", "del", "della", "sono", "come", "anche"],
+    "nl": ["de", "het", "een", "en", "van", "is", "dat", "op", "te", "niet", "met", "zijn", "voor", "aan", "ook", "wij", "uw"],
+    "pt": ["não", "são", "uma", "com", "dos", "das", "para", "por", "mais", "como", "também", "ser", "está", "pelo", "pela", "já",
+           "mas", "ao", "seu", "sua", "isso", "então", "muito", "conteúdo", "além"],
 }
 LANGUAGE_TOKEN = r"[a-zà-ÿ]+"
 WEIGHT_UNIT = 420  # divisible by 1..7, so that a word shared by k languages has the whole weight 420 / k
@@ -257,10 +260,10 @@ def function_word_table(spark) -> DataFrame:
     """Fixed table ``word, lang, rank, weight``; small by construction."""
     claims: dict[str, int] = {}
     for ws in FUNCTION_WORDS.values():
-        for w in set(ws.split()):
+        for w in set(ws):
             claims[w] = claims.get(w, 0) + 1
     rows = [(w, lang, i, WEIGHT_UNIT // claims[w])
-            for i, (lang, ws) in enumerate(FUNCTION_WORDS.items()) for w in sorted(set(ws.split()))]
+            for i, (lang, ws) in enumerate(FUNCTION_WORDS.items()) for w in sorted(set(ws))]
     return spark.createDataFrame(rows, "word string, lang string, rank int, weight int")
 
 

@@ -21,15 +21,16 @@ def key_value(kind: Column, value: Column) -> Column:
     return F.when(kind.isin(STRONG), F.replace(v, F.lit(" "), F.lit(""))).otherwise(v)
 
 
-def components(members: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(members: DataFrame) -> DataFrame:
     """Connected components of ``node, link``: nodes that share a link value belong together; the smallest node names it.
 
     A link passes on its smallest label by a fold, so a link value shared by a third of the rows costs one partial
-    aggregation and never a pair. Label jumping makes the number of rounds logarithmic in the length of a chain.
+    aggregation and never a pair. Label jumping makes the number of rounds logarithmic in the length of a chain. Labels only
+    sink, so the loop ends by itself.
     """
     m = checkpointed(members.select("node", "link").distinct())
     lab = checkpointed(m.select("node").distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         by_link = m.join(lab, "node").groupBy("link").agg(F.min("label").alias("l"))
         by_node = m.join(by_link, "link").groupBy("node").agg(F.min("l").alias("l"))
         step = lab.join(by_node, "node", "left").select("node", "label", F.least("label", F.coalesce("l", F.col("label"))).alias("new"))
@@ -39,7 +40,6 @@ def components(members: DataFrame, max_rounds: int = 50) -> DataFrame:
         lab = nxt.select("node", F.col("new").alias("label"))
         if not changed:
             return lab
-    raise RuntimeError("components did not settle")
 
 
 def resolve(observations: DataFrame) -> DataFrame:
@@ -94,11 +94,12 @@ def emit_items(statements: DataFrame) -> DataFrame:
     return h.groupBy("item").agg(F.min("kind").alias("kind"), F.countDistinct("doc", "node").alias("spans"), F.min("statement").alias("statement"))
 
 
-def item_status(items: DataFrame, spans: DataFrame, derived: DataFrame, contradicted: DataFrame, max_rounds: int = 100) -> DataFrame:
+def item_status(items: DataFrame, spans: DataFrame, derived: DataFrame, contradicted: DataFrame) -> DataFrame:
     """Status of items: disputed, accepted with two independent spans over all ancestors, supported with one, else proposed.
 
     Two spans decide, so each item carries its two smallest distinct spans through the derivations; the closure itself is
-    never built. ``spans``: item, doc, node; ``derived``: child, parent.
+    never built. The two spans only sink, so the loop ends by itself, also on a cycle. ``spans``: item, doc, node; ``derived``:
+    child, parent.
     """
     def two(rows):
         m1 = rows.groupBy("item").agg(F.min("s").alias("s1"), F.max("s").alias("__x"))
@@ -110,7 +111,7 @@ def item_status(items: DataFrame, spans: DataFrame, derived: DataFrame, contradi
 
     st = checkpointed(two(spans.select("item", F.concat_ws("|", F.col("doc").cast("string"), F.col("node").cast("string")).alias("s"))))
     e = checkpointed(derived.select("child", "parent").distinct())
-    for _ in range(max_rounds):
+    while True:
         up = e.join(rows(st).withColumnRenamed("item", "parent"), "parent").select(F.col("child").alias("item"), "s")
         nxt = checkpointed(two(rows(st).unionByName(up)))
         same = nxt.join(st.select("item", F.col("s1").alias("o1"), F.col("s2").alias("o2")), "item", "left").where(
@@ -124,16 +125,17 @@ def item_status(items: DataFrame, spans: DataFrame, derived: DataFrame, contradi
 
 
 def belief(nodes: DataFrame, edges: DataFrame, combine: Callable[[Column], Column] = F.min, scale: Callable[[Column, Column], Column] | None = None,
-           max_rounds: int = 200, digits: int = 12) -> DataFrame:
+           max_rounds: int | None = None, digits: int = 12) -> DataFrame:
     """Belief on a derivation graph: the parents' beliefs combined, then scaled by the own confidence.
 
     ``nodes``: id, confidence; ``edges``: child, parent. The default is the weakest parent times the own confidence. Runs
-    until nothing changes, which takes as many rounds as the graph is deep; run ``cycles`` first.
+    until nothing changes, which takes as many rounds as the graph is deep. A graph without a cycle is not deeper than it has
+    nodes, so beyond that number a cycle is proven and raises; run ``cycles`` first, it finds one sooner.
     """
     scale = scale or (lambda parents, own: parents * own)
     e = checkpointed(edges.select("child", "parent").distinct())
     b = checkpointed(nodes.select("id", "confidence", F.col("confidence").alias("belief")))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds or b.count() + 1):
         p = e.join(b.select(F.col("id").alias("parent"), "belief"), "parent").groupBy("child").agg(combine("belief").alias("__p"))
         nxt = checkpointed(b.join(p, F.col("id") == F.col("child"), "left").select(
             "id", "confidence", F.col("belief").alias("old"), F.round(F.coalesce(scale(F.col("__p"), F.col("confidence")), F.col("confidence")), digits).alias("belief")))
@@ -144,31 +146,30 @@ def belief(nodes: DataFrame, edges: DataFrame, combine: Callable[[Column], Colum
     raise RuntimeError("belief did not settle: the derivations hold a cycle")
 
 
-def cycles(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """Edges that remain when edges into nodes without outgoing edges are removed again and again; empty for a DAG."""
     e = checkpointed(edges.select("subject", "object").distinct())
     n = e.count()
-    for _ in range(max_rounds):
+    while True:
         e = checkpointed(e.join(e.select(F.col("subject").alias("object")).distinct(), "object", "left_semi").select("subject", "object"))
         m = e.count()
         if m == n or m == 0:
             return e
         n = m
-    raise RuntimeError("cycle test did not end")
 
 
-def ancestors(parents: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """All ancestors of every code with their distance; a code met before is not followed again. ``code, parent``."""
     p = checkpointed(parents.where("parent IS NOT NULL").select("code", "parent").distinct())
     seen = checkpointed(p.select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    front = seen
-    for d in range(2, max_depth + 1):
+    front, d = seen, 1
+    while True:
+        d += 1
         nxt = front.join(p.select(F.col("code").alias("ancestor"), F.col("parent").alias("__next")), "ancestor").select("code", F.col("__next").alias("ancestor")).distinct()
         nxt = checkpointed(nxt.where("code <> ancestor").join(seen.select("code", "ancestor"), ["code", "ancestor"], "left_anti").withColumn("distance", F.lit(d)))
         if nxt.isEmpty():
             return seen
         seen, front = seen.unionByName(nxt), nxt
-    return seen
 
 
 def siblings(parents: DataFrame) -> DataFrame:
@@ -177,11 +178,16 @@ def siblings(parents: DataFrame) -> DataFrame:
     return parents.join(n, "parent").select("code", "siblings")
 
 
-def fixpoint(state: DataFrame, passes: list[Callable[[DataFrame], DataFrame]], key: str, max_rounds: int = 10) -> tuple[DataFrame, list[int]]:
-    """Run item-producing passes in order until a round adds nothing. Returns the state and the rows added per round."""
+def fixpoint(state: DataFrame, passes: list[Callable[[DataFrame], DataFrame]], key: str, max_rounds: int | None = None) -> tuple[DataFrame, list[int]]:
+    """Run item-producing passes in order until a round adds nothing. Returns the state and the rows added per round.
+
+    With ``max_rounds`` it raises where the passes still add rows in the last round allowed.
+    """
     state = checkpointed(state)
     added = []
-    for _ in range(max_rounds):
+    while not added or added[-1]:
+        if max_rounds and len(added) == max_rounds:
+            raise RuntimeError(f"the passes still add rows after {max_rounds} rounds")
         n = 0
         for p in passes:
             new = checkpointed(p(state).dropDuplicates([key]).join(state.select(key), key, "left_anti").select(*state.columns))
@@ -190,8 +196,6 @@ def fixpoint(state: DataFrame, passes: list[Callable[[DataFrame], DataFrame]], k
                 n += k
                 state = checkpointed(state.unionByName(new))
         added.append(n)
-        if n == 0:
-            break
     return state, added
 
 

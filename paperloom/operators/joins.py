@@ -6,20 +6,15 @@ come from two ordered scans; one-to-one matching runs in rounds over candidate p
 
 from __future__ import annotations
 
-import difflib
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom.functions import geometry as G
 from paperloom.functions.latex import INLINE_MATH
 from paperloom.functions.quantity import convert
 from paperloom.functions.spans import explode_spans
 from paperloom.functions.text import number_list
-from paperloom.operators.scan import ordered_scan
+from paperloom.operators.scan import chunk_of, ordered_scan, ordered_text
 from paperloom.session import bounded, checkpointed
 
 
@@ -391,8 +386,8 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, evidence: DataFrame
     return out.join(evidence.select(key, F.lit(True).alias("backed")).distinct(), key, "left").withColumn("backed", F.coalesce("backed", F.lit(False)))
 
 
-AUTHOR_STOP = ["see", "figure", "fig", "table", "section", "chapter", "eq", "equation", "appendix", "since", "from", "in", "until", "the",
-               "version", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+AUTHOR_STOP = ["in", "the", "see", "eq", "fig", "figure", "table", "section", "appendix", "no", "yes", "note", "cf", "via", "and", "or", "of",
+               "from", "with", "left", "right", "top", "bottom", "where", "for", "all", "e", "i"]
 
 
 def blank_math(text: Column) -> Column:
@@ -504,46 +499,19 @@ def bind_measures(sents: DataFrame, quantities: DataFrame, concepts: DataFrame)
 
 
 def merge_prose(df: DataFrame, key: str) -> DataFrame:
-    """Re-cut a clean text by the paragraph bounds of a noisy one. Row input: key, paras (ordered), clean.
+    """Re-cut a clean text by the paragraph bounds of a noisy one: ``key, para, text``. Row input: key, paras (ordered), clean.
 
-    Both texts of a document are cells of one row; the word alignment runs per row inside Arrow batches.
+    Words that either text of a document has once only are anchors. Read in the order of the noisy text, an anchor counts if
+    no earlier one lies behind it in the clean text. A paragraph starts at its first such place and ends where the next
+    one starts; without one it has no text. Both orders run as chunked scans, so a long document is spread over tasks.
     """
-    schema = T.StructType([df.schema[key], T.StructField("para", T.IntegerType()), T.StructField("text", T.StringType())])
-
-    def cut(batches):
-        for pdf in batches:
-            rows = [(k, i, text) for k, paras, clean in zip(pdf[key], pdf["paras"], pdf["clean"]) for i, text in _recut(list(paras), clean)]
-            yield pd.DataFrame(rows, columns=[key, "para", "text"])
-
-    return df.select(key, "paras", "clean").mapInPandas(cut, schema)
-
-
-def _recut(paras: list[str], clean: str) -> list[tuple[int, str]]:
-    """Start word of every paragraph in the clean text, made monotone; a paragraph without a matched word has no span."""
-    target = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\w+", clean or "")]
-    source, bounds = [], []
-    for p in paras:
-        a = len(source)
-        source.extend(w.lower() for w in re.findall(r"\w+", p or ""))
-        bounds.append((a, len(source)))
-    if not source or not target:
-        return []
-    to = {}
-    for i, j, n in difflib.SequenceMatcher(None, source, [w for w, _, _ in target], autojunk=False).get_matching_blocks():
-        to.update((i + k, j + k) for k in range(n))
-    starts = [next((to[i] for i in range(a, b) if i in to), None) for a, b in bounds]
-    top, mono = 0, []
-    for s in starts:
-        top = top if s is None else max(top, s)
-        mono.append(None if s is None else top)
-    out = []
-    for i in range(len(mono) - 1, -1, -1):
-        s = mono[i]
-        if s is None:
-            continue
-        later = [m for m in mono[i + 1:] if m is not None and m > s]
-        end = later[0] if later else len(target)
-        text = clean[target[s][1]:target[end - 1][2]].strip() if end > s else ""
-        if text:
-            out.append((i, text))
-    return out[::-1]
+    word = r"[\p{L}\p{N}_]+"
+    noisy = df.select(key, F.posexplode("paras").alias("para", "__p")).select(key, "para", F.posexplode(F.regexp_extract_all(F.lower("__p"), F.lit(word), 0)).alias("k", "word"))
+    clean = df.select(key, F.posexplode(F.split(F.trim(F.regexp_replace("clean", r"\s+", " ")), " ")).alias("pos", "chunk")).where("chunk <> ''")
+    clean = clean.withColumn("word", F.lower(F.regexp_replace("chunk", r"[^\p{L}\p{N}_]+", "")))
+    once = lambda d, *at: d.where("word <> ''").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in at)).where("n = 1").drop("n")
+    anchors = once(noisy, "para", "k").join(once(clean, "pos"), [key, "word"])
+    upward = ordered_scan(anchors, [key], ["para", "k"], chunk_of("para"), running_max={"top": F.col("pos")}).where("pos = top")
+    starts = upward.groupBy(key, "para").agg(F.min("pos").alias("pos"))
+    owned = ordered_scan(clean.join(starts, [key, "pos"], "left"), [key], ["pos"], chunk_of("pos"), last={"owner": F.col("para")}).where("owner IS NOT NULL")
+    return ordered_text(owned, [key, "owner"], ["pos"], "chunk").withColumnRenamed("owner", "para")

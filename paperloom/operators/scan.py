@@ -9,6 +9,8 @@ spread over as many tasks as it has chunks; only the summary rows of a key meet
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def ordered_scan(
     ``order`` must be total within a key and ``chunk`` (a column name such as ``page``, or an expression) must not fall
     along it. ``running`` columns are inclusive sums,
     ``running_max`` inclusive maxima, ``last`` the latest non-null value at or before the row, ``lag`` and ``lead`` the
-    neighbour's value.
+    neighbour's value. Rows with a null key, chunk or order value stay: null is a key and a chunk of its own and comes first.
     """
     running, running_max = dict(running or {}), dict(running_max or {})
     last, lag, lead = dict(last or {}), dict(lag or {}), dict(lead or {})
@@ -98,7 +100,9 @@ def ordered_scan(
             local.append(F.lag(c).over(w).alias(f"{c}_w"))
         else:
             local.append(F.lead(c).over(w).alias(f"{c}_w"))
-    j = d.select("*", *local).join(summary, keys + [ck], "inner")
+    side = {c: f"__scan_k{i}" for i, c in enumerate([*keys, ck])}
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(k)) for c, k in side.items()))
+    j = d.select("*", *local).join(summary.withColumnsRenamed(side), same, "inner")
 
     out = [F.col(c) for c in df.columns]
     if row_number:

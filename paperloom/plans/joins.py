@@ -454,9 +454,18 @@ def jn_measure_bind(t):
     return m.select(F.col("sent_id").alias("p_partkey"), "concept", "measure", "amount", F.col("conditions")["precision"].alias("condition"))
 
 
-@query("jn_merge_prose")
+@query("jn_merge_prose", f"""WITH {duck.LINES},
+para AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS para, lower(text) AS p FROM doc_line WHERE trim(text) <> ''),
+noisy AS (SELECT doc_id, para, i AS k, w[i] AS word FROM (SELECT doc_id, para, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, para, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+') AS w FROM para))),
+clean AS (SELECT doc_id, i AS pos, c[i] AS chunk, lower(regexp_replace(c[i], '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS word
+  FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS c FROM documents)) WHERE c[i] <> ''),
+a AS (SELECT doc_id, word, min(para) AS para, min(k) AS k FROM noisy GROUP BY ALL HAVING count(*) = 1),
+b AS (SELECT doc_id, word, min(pos) AS pos FROM clean WHERE word <> '' GROUP BY ALL HAVING count(*) = 1),
+up AS (SELECT doc_id, para, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY para, k) AS top FROM a JOIN b USING (doc_id, word)),
+s AS (SELECT doc_id, para, min(pos) AS pos FROM up WHERE pos = top GROUP BY ALL),
+o AS (SELECT clean.doc_id, clean.pos, chunk, last_value(para IGNORE NULLS) OVER (PARTITION BY clean.doc_id ORDER BY clean.pos) AS para FROM clean LEFT JOIN s ON clean.doc_id = s.doc_id AND clean.pos = s.pos)
+SELECT doc_id, para, string_agg(chunk, ' ' ORDER BY pos) AS text FROM o WHERE para IS NOT NULL GROUP BY ALL""")
 def jn_merge_prose(t):
     lines = text_lines(t.documents, "doc_id").where("trim(text) <> ''")
     paras = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.lower(x["text"])).alias("paras"))
     return J.merge_prose(paras.join(t.documents.select("doc_id", F.col("text").alias("clean")), "doc_id"), "doc_id")
-

@@ -189,10 +189,10 @@ def fx_names(t):
 
 _CLAIMS: dict[str, int] = {}
 for _ws in X.FUNCTION_WORDS.values():
-    for _w in set(_ws.split()):
+    for _w in set(_ws):
         _CLAIMS[_w] = _CLAIMS.get(_w, 0) + 1
 _WORD_ROWS = ", ".join(f"({q(w)}, '{lang}', {i}, {X.WEIGHT_UNIT // _CLAIMS[w]})"
-                       for i, (lang, ws) in enumerate(X.FUNCTION_WORDS.items()) for w in sorted(set(ws.split())))
+                       for i, (lang, ws) in enumerate(X.FUNCTION_WORDS.items()) for w in sorted(set(ws)))
 
 
 @query("fx_language", f"""WITH fw(word, lang, rank, weight) AS (VALUES {_WORD_ROWS}),

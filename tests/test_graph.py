@@ -100,3 +100,32 @@ def test_passes_and_rankers(spark):
     assert dict(status)["c"] == "blocked" and dict(status)["bad"].startswith("failed")
     with pytest.raises(ValueError):
         U.order_passes([U.Pass("a", None, ("b",)), U.Pass("b", None, ("a",))])
+
+
+def chain(spark, n, a, b):
+    return spark.range(1, n).selectExpr(f"id AS {a}", f"id - 1 AS {b}")
+
+
+def test_long_chain_is_followed_to_its_end(spark):
+    n = 70
+    up = G.ancestors(chain(spark, n, "code", "parent"))
+    assert up.count() == n * (n - 1) // 2 and up.agg({"distance": "max"}).first()[0] == n - 1
+    items = spark.range(n).selectExpr("id AS item")
+    spans = spark.createDataFrame([(0, 1, 1), (0, 2, 1)], "item long, doc long, node long")
+    none = spark.createDataFrame([], "item long")
+    assert {r.status for r in G.item_status(items, spans, chain(spark, n, "child", "parent"), none).collect()} == {"accepted"}
+
+
+def test_status_on_a_cycle(spark):
+    items = spark.range(3).selectExpr("id AS item")
+    spans = spark.createDataFrame([(0, 1, 1)], "item long, doc long, node long")
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "child long, parent long")
+    assert {r.status for r in G.item_status(items, spans, ring, spark.createDataFrame([], "item long")).collect()} == {"supported"}
+
+
+def test_fixpoint_does_not_stop_silently(spark):
+    grow = lambda s: s.where("item < 30").selectExpr("item + 1 AS item")
+    start = spark.createDataFrame([(0,)], "item long")
+    assert G.fixpoint(start, [grow], "item")[0].count() == 31
+    with pytest.raises(RuntimeError):
+        G.fixpoint(start, [grow], "item", 5)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,3 +33,9 @@ def test_equals_plain_windows(spark, frame, rows, parts):
 def test_top_k_of_a_hot_key(frame):
     got = top_k(frame, ["k"], [F.desc("pos")], 3, F.col("pos")).where("k = 'hot'").orderBy("rank").collect()
     assert [(r["pos"], r["rank"]) for r in got] == [(299, 1), (298, 2), (296, 3)]
+
+
+def test_null_keys_and_chunks_stay(spark):
+    d = spark.createDataFrame([(None, 1, 1, 5), (None, None, 2, 6), ("a", None, 3, 7), ("a", 1, None, 8), ("a", 1, 4, 9)], "k string, page int, pos int, v int")
+    got = ordered_scan(d, ["k"], ["page", "pos"], "page", row_number="n", running={"s": F.col("v")}, lag={"before": F.col("v")})
+    assert rows(got, "k", "v", "n", "s", "before") == [("a", 7, 1, 7, None), ("a", 8, 2, 15, 7), ("a", 9, 3, 24, 8), (None, 5, 2, 11, 6), (None, 6, 1, 6, None)]
