@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,8 +112,8 @@ class Rankers:
                 out = fn(units)
                 out.schema  # noqa: B018 - planning errors show here
                 return out.withColumn("aspect", F.lit(aspect))
-            except Exception:
-                pass
+            except AnalysisException as e:  # what does not plan; faults of the function itself are not hidden
+                logging.getLogger(__name__).warning("ranker %s does not plan, the structural one takes its place: %s", aspect, e)
         return self._by_aspect["structural"](units).withColumn("aspect", F.lit("structural"))
 
 

@@ -134,12 +134,12 @@ def geometry_match(left: DataFrame, right: DataFrame, keys: list[str], y: str, t
     return got.unionByName(far.select(*keys, "id", "r_id", similarity(F.col("text"), F.col("r_text")).alias("sim"), F.lit(True).alias("fallback")))
 
 
-def serial_match(pairs: DataFrame, keys: list[str], left: str, right: str, left_order: list[str], preference: list[Column], max_rounds: int = 1000) -> DataFrame:
+def serial_match(pairs: DataFrame, keys: list[str], left: str, right: str, left_order: list[str], preference: list[Column]) -> DataFrame:
     """One-to-one matching: in left order, each left row takes its best right row that is still free.
 
     A pair is final when the left row is the first one that wants the right row and the right row is its best free
     choice. Final pairs leave with all their candidates; the rest goes into the next round. Each round is a shuffle of the
-    open candidates, and no group is ever held in one task.
+    open candidates, and no group is ever held in one task. The first open left row always gets a pair, so the loop ends.
     """
     open_ = pairs
     for i, c in enumerate(preference):
@@ -147,7 +147,7 @@ def serial_match(pairs: DataFrame, keys: list[str], left: str, right: str, left_
     open_ = checkpointed(open_)
     done = None
     pref = F.struct(*[F.col(f"__p{i}") for i in range(len(preference))])
-    for _ in range(max_rounds):
+    while True:
         turn = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(left_order)], F.col(left).alias("left"))
         first = open_.groupBy(*keys, right).agg(F.min(turn).alias("__f"))
         best = open_.groupBy(*keys, left).agg(F.min_by(F.col(right), F.struct(pref, F.col(right))).alias("__r"))
@@ -157,7 +157,6 @@ def serial_match(pairs: DataFrame, keys: list[str], left: str, right: str, left_
         open_ = checkpointed(open_.join(final.select(*keys, left), [*keys, left], "left_anti").join(final.select(*keys, right), [*keys, right], "left_anti"))
         if open_.isEmpty():
             return done
-    raise RuntimeError("one-to-one matching did not end")
 
 
 def iou_pairs(left: DataFrame, right: DataFrame, page: list[str], min_iou: float, step: float) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.spans import explode_spans
+from paperloom.functions.spans import match_spans
 
 BRACED = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
 
@@ -176,12 +176,15 @@ LATEX_PARTS = [
 
 
 def latex_parts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Parts of LaTeX source with their offset: sections, equations, graphics, abstract, algorithms, theorems, proofs."""
+    """Parts of LaTeX source with their offset: sections, equations, graphics, abstract, algorithms, theorems, proofs.
+
+    All kinds are found in one projection of the text, which is read and freed of comments once.
+    """
     body = texts.select(key, strip_comments(F.col(text)).alias("__b"))
-    out = None
-    for kind, pat in LATEX_PARTS:
-        h = explode_spans(body, key, "__b", pat).select(key, F.lit(kind).alias("kind"), F.col("start").alias("pos"), F.col("value").alias("raw"))
-        out = h if out is None else out.unionByName(h)
+    for i, (_kind, pat) in enumerate(LATEX_PARTS):
+        body = match_spans(body, "__b", pat, f"__s{i}")
+    tag = lambda i, kind: F.transform(f"__s{i}", lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("pos"), m["value"].alias("raw")))
+    out = body.select(key, F.explode(F.concat(*(tag(i, kind) for i, (kind, _) in enumerate(LATEX_PARTS)))).alias("m")).select(key, "m.*")
     inner = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)^\\begin\{[^}]*\}(?:\[[^\]]*\])?|\\end\{[^}]*\}$|^\\\[|\\\]$", ""), r"\\(?:label|tag)\{[^}]*\}", ""))
     cmd = F.regexp_extract("raw", r"^\\([a-z]+)", 1)
     level = F.when(cmd.isin("part", "chapter"), 1).when(cmd == "section", 2).when(cmd == "subsection", 3).when(cmd == "subsubsection", 4)
