@@ -144,3 +144,66 @@ def close_braces(s: Column) -> Column:
 def math_free(s: Column) -> Column:
     """Text segments outside the math spans."""
     return F.split(s, INLINE_MATH, -1)
+
+
+# Commands that leave no ink and do not part a base from its scripts; commands with two and with one argument.
+TRANSPARENT = ["\\limits", "\\nolimits", "\\displaystyle", "\\textstyle", "\\scriptstyle", "\\scriptscriptstyle", "\\left", "\\right", "\\bigl", "\\bigr", "\\Bigl",
+               "\\Bigr", "\\biggl", "\\biggr", "\\,", "\\;", "\\:", "\\!", "\\ ", "\\quad", "\\qquad", "\\thinspace", "\\medspace", "\\thickspace", "\\negthinspace",
+               "\\mathrm", "\\mathit", "\\mathsf", "\\mathtt", "\\bf", "\\rm", "\\it", "\\operatorname"]
+OVER = ["\\frac", "\\dfrac", "\\tfrac", "\\binom"]
+INSIDE = ["\\sqrt", "\\overline", "\\underline", "\\hat", "\\bar", "\\vec", "\\tilde", "\\widehat", "\\widetilde"]
+
+
+def formula_lines(latex: Column) -> Column:
+    """Structure of a formula as lines ``parent relation child``: right, sup, sub, above, below, inside. Null if it does not parse.
+
+    One fold over the tokens. A frame of the stack is an open group or a command that waits for arguments; it knows to what its
+    first symbol is tied, its last symbol, a script that waits for its argument, and the arguments to come. Environments
+    are not parsed. Lines stand in the order of the tokens.
+    """
+    text = lambda x: F.lit(x).cast("string")
+    none, no_args = text(None), F.array().cast("array<string>")
+
+    def frame(owner, rel, last, wait, args, command, inline):
+        return F.struct(owner.alias("owner"), rel.alias("rel"), last.alias("last"), wait.alias("wait"), args.alias("args"), command.alias("command"), inline.alias("inline"))
+
+    def state(stack, out, ok):
+        return F.struct(stack.alias("stack"), out.alias("out"), ok.alias("ok"))
+
+    yes, no = F.lit(True), F.lit(False)
+    tokens = F.filter(F.regexp_extract_all(latex, F.lit(r"\\[A-Za-z]+|\\[\s\S]|[^\s\\]"), 0), lambda t: ~t.isin(TRANSPARENT))
+    tail = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
+
+    def settled(stack):
+        """Without commands on top that have all their arguments."""
+        open_ = F.array_max(F.transform(stack, lambda f, i: F.when(f["command"] & (F.size(f["args"]) == 0), -1).otherwise(i)))
+        return F.slice(stack, F.lit(1), open_ + 1)
+
+    def step(s, t):
+        stack, out, top = s["stack"], s["out"], F.element_at(s["stack"], -1)
+        below = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        put = lambda last, wait, args: F.array_append(below, frame(top["owner"], top["rel"], last, wait, args, top["command"], top["inline"]))
+        script, argument = top["wait"].isNotNull(), F.size(top["args"]) > 0
+        tied = F.when(script | argument | top["last"].isNotNull(), top["last"]).otherwise(top["owner"])
+        rel = F.when(script, top["wait"]).when(argument, F.get(top["args"], F.lit(0))).when(top["last"].isNotNull(), "right").otherwise(top["rel"])
+        plain = ~script & ~argument
+        used = put(top["last"], none, F.when(script, top["args"]).otherwise(tail(top["args"])))
+        opened = F.array_append(F.when(plain, stack).otherwise(used), frame(tied, rel, none, none, no_args, no, plain))
+        outer = F.element_at(below, -1)
+        lower = F.slice(below, F.lit(1), F.greatest(F.size(below) - 1, F.lit(0)))
+        handed = F.when(top["inline"], F.array_append(lower, frame(outer["owner"], outer["rel"], F.coalesce(top["last"], outer["last"]), outer["wait"], outer["args"], outer["command"], outer["inline"]))).otherwise(below)
+        may_close = (F.size(stack) > 1) & ~top["command"] & ~script & (top["inline"] | top["last"].isNotNull())
+        args = F.when(t.isin(OVER), F.array(F.lit("above"), F.lit("below"))).when(t.isin(INSIDE), F.array(F.lit("inside"))).otherwise(no_args)
+        placed = F.when(plain, put(t, none, no_args)).otherwise(used)
+        placed = settled(F.when(F.size(args) > 0, F.array_append(placed, frame(none, none, t, none, args, yes, no))).otherwise(placed))
+        line = F.when(tied.isNotNull(), F.array_append(out, F.concat_ws(" ", tied, rel, t))).otherwise(out)
+        may_script = top["last"].isNotNull() & ~script & ~top["command"]
+        return (F.when(~s["ok"] | t.isin("\\begin", "\\end"), state(stack, out, no))
+                .when(t == "{", state(opened, out, yes))
+                .when(t == "}", F.when(may_close, state(settled(handed), out, yes)).otherwise(state(stack, out, no)))
+                .when(t.isin("^", "_"), F.when(may_script, state(put(top["last"], F.when(t == "^", "sup").otherwise("sub"), top["args"]), out, yes)).otherwise(state(stack, out, no)))
+                .otherwise(state(placed, line, yes)))
+
+    start = state(F.array(frame(none, none, none, none, no_args, no, no)), no_args, yes)
+    top = lambda s: F.element_at(s["stack"], -1)
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["ok"] & (F.size(s["stack"]) == 1) & top(s)["wait"].isNull(), s["out"]))

@@ -379,6 +379,31 @@ def jn_formula_entries(t):
     return d.groupBy("lang").agg(F.count_if(n > 1).alias("entries"), F.count_if(n <= 1).alias("unparsed"))
 
 
+# Formulas of all rows: a fraction with a script above, a radical with a script below, and an equation behind it.
+def formula(size: str, key: str) -> str:
+    return rf"""'\\frac{{{{' || substr('abcdefghij', CAST({size} % 10 AS INT) + 1, 1) || '^2}}}}{{{{\\sqrt{{{{' || substr('klmnopqrst', CAST({key} % 10 AS INT) + 1, 1) || '_i}}}}}}}} \\, = z'""".replace("{{", "{").replace("}}", "}")
+
+
+FORMULA_LINES = r"""['\frac above ' || a, a || ' sup 2', '\frac below \sqrt', '\sqrt inside ' || b, b || ' sub i', '\frac right =', '= right z']"""
+FORMULAS = rf"""WITH p AS (SELECT p_partkey, substr('abcdefghij', p_size % 10 + 1, 1) AS a, substr('klmnopqrst', CAST(p_partkey % 10 AS INT) + 1, 1) AS b FROM part),
+s AS (SELECT s_suppkey, substr('abcdefghij', s_nationkey % 10 + 1, 1) AS a, substr('klmnopqrst', CAST(s_suppkey % 10 AS INT) + 1, 1) AS b FROM supplier)"""
+
+
+@query("jn_formula_structure", rf"""{FORMULAS} SELECT p_partkey, array_to_string({FORMULA_LINES}, '; ') AS lines FROM p""")
+def jn_formula_structure(t):
+    tex = t.part.select("p_partkey", F.expr(formula("p_size", "p_partkey")).alias("tex"))
+    return tex.select("p_partkey", F.array_join(L.formula_lines(F.col("tex")), "; ").alias("lines"))
+
+
+@query("jn_formula_structure_index", rf"""{FORMULAS}, x AS (SELECT s_suppkey AS query_id, unnest({FORMULA_LINES}) AS l FROM s), y AS (SELECT p_partkey AS entry_id, unnest({FORMULA_LINES}) AS l FROM p),
+j AS (SELECT query_id, entry_id, round(count(*) / CAST(14 - count(*) AS DOUBLE), 4) AS score FROM x JOIN y USING (l) GROUP BY ALL)
+SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM j QUALIFY rank <= 10""")
+def jn_formula_structure_index(t):
+    q = t.supplier.select(F.col("s_suppkey").alias("query_id"), L.formula_lines(F.expr(formula("s_nationkey", "s_suppkey"))).alias("lines"))
+    e = t.part.select(F.col("p_partkey").alias("entry_id"), L.formula_lines(F.expr(formula("p_size", "p_partkey"))).alias("lines"))
+    return J.signature_rank(q, e, k=10).select("query_id", "entry_id", "score", "rank")
+
+
 @query("jn_toc_align", """WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderkey % 5 AS title, CAST(datepart('day', o_orderdate) AS INT) AS printed FROM orders),
 s AS (SELECT o_custkey, o_orderpriority || ' ' || o_orderkey % 5 AS title, arg_min(CAST(datepart('day', o_orderdate) + 12 AS INT), o_orderkey) AS page FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
 j AS (SELECT e.*, s.page FROM e LEFT JOIN s USING (o_custkey, title)), f AS (SELECT o_custkey, CAST(trunc(median(page - printed)) AS INT) AS offs FROM j WHERE page IS NOT NULL GROUP BY 1)

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from paperloom.functions import extract as X
+from paperloom.functions import latex as L
 from paperloom.functions import prose as P
 from paperloom.functions import quantity as Q
 from paperloom.functions import text as T
@@ -140,3 +141,13 @@ def test_bundle_files(spark, tmp_path):
     S.write_files(S.bundle_files(d, "type", F.col("id"), F.col("id"), F.col("body"), "T"), str(tmp_path))
     assert sorted(p.name for p in (tmp_path / "paragraph").iterdir()) == ["index_.md", "p_1.md"]
     assert "Hello" in (tmp_path / "paragraph" / "p_1.md").read_text()
+
+
+def test_formula_lines(spark):
+    want = {
+        "a b": ["a right b"], "A_{i}^{h}": ["A sub i", "A sup h"], "x^a_b": ["x sup a", "x sub b"], "x^{a_b}": ["x sup a", "a sub b"], "{ab}^c": ["a right b", "b sup c"],
+        r"\frac{a_1}{\sqrt{b}}^2 = c": [r"\frac above a", "a sub 1", r"\frac below \sqrt", r"\sqrt inside b", r"\frac sup 2", r"\frac right =", "= right c"],
+        r"x^\frac12 y": [r"x sup \frac", r"\frac above 1", r"\frac below 2", "x right y"], r"\sum\limits_{i=1}^n i": [r"\sum sub i", "i right =", "= right 1", r"\sum sup n", r"\sum right i"],
+        r"\hat x_i": [r"\hat inside x", r"\hat sub i"], "": [], "a}": None, "{a": None, "^2": None, "x^{}": None, "x^": None, r"\begin{a}x\end{a}": None, r"\frac a": None}
+    d = spark.createDataFrame([(k,) for k in want], "tex string")
+    assert {r.tex: r.lines for r in d.select("tex", L.formula_lines(F.col("tex")).alias("lines")).collect()} == want
