@@ -21,6 +21,16 @@ def query(fn):
     return fn
 
 
+def oracle(sql: str):
+    """The SQL that a second engine runs for the same rows."""
+
+    def add(fn):
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -42,6 +52,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values of the encoding
+DIGITS = " || ".join(f"substr('{BASE32}', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INT + 1, 1)" for i in range(8) for j in range(4))
+
+
+@oracle(f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT page_id, top, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p)
+SELECT page_id, payload_bytes, {DIGITS} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact FROM d""")
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
@@ -49,6 +67,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder)
 
 
+@oracle("""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y WHERE x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
 @query
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(table(spark, sf_dir, "embeddings"), least=0.9)
