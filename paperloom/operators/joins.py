@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import geometry as G
 from paperloom.functions.latex import INLINE_MATH
 from paperloom.functions.quantity import convert
+from paperloom.functions.similarity import sorted_tokens
 from paperloom.functions.spans import explode_spans
 from paperloom.functions.text import number_list
 from paperloom.operators.scan import chunk_of, ordered_scan, ordered_text
@@ -94,6 +95,19 @@ def best_edit(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return left.join(best, "ltext", "left").select("lid", "ltext", F.col("b.rtext").alias("match"), F.col("b.score").alias("score"), F.col("b.distance").alias("distance"))
 
 
+def best_token_edit(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """As ``best_edit``, but on the sorted lower-case tokens, so that ``Doe, Jane`` meets ``Jane Doe``: ``lid, ltext, match, distance``.
+
+    Texts with the same tokens are folded to one before the join; of right texts with the same tokens the least is named.
+    """
+    lt, rt = left.withColumn("__l", sorted_tokens(F.col("ltext"))), right.withColumn("__r", sorted_tokens(F.col("rtext")))
+    named = rt.groupBy("__r").agg(F.min("rtext").alias("match"))
+    best = edit_pairs(lt.select("lid", F.col("__l").alias("ltext")), rt.select(F.col("__r").alias("rtext")), threshold).groupBy(F.col("ltext").alias("__l")).agg(
+        F.min_by(F.struct("rtext", "distance"), F.struct("distance", -F.length("rtext"), "rtext")).alias("b"))
+    best = best.select("__l", F.col("b.rtext").alias("__r"), F.col("b.distance").alias("distance")).join(named, "__r")
+    return lt.join(best, "__l", "left").select("lid", "ltext", "match", "distance")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, y: str, width: float) -> DataFrame:
     """Nearest right row of every left row along ``y``; of two at the same distance the earlier one.
 
@@ -500,17 +514,27 @@ def bind_measures(sents: DataFrame, quantities: DataFrame, concepts: DataFrame)
 def merge_prose(df: DataFrame, key: str) -> DataFrame:
     """Re-cut a clean text by the paragraph bounds of a noisy one: ``key, para, text``. Row input: key, paras (ordered), clean.
 
-    Words that either text of a document has once only are anchors. Read in the order of the noisy text, an anchor counts if
-    no earlier one lies behind it in the clean text. A paragraph starts at its first such place and ends where the next
-    one starts; without one it has no text. Both orders run as chunked scans, so a long document is spread over tasks.
+    Words, and pairs of neighbouring words, that either text of a document has once only are anchors. Read in the order of the
+    noisy text, an anchor counts if no earlier one lies behind it in the clean text. A paragraph starts at its first such place
+    and ends where the next one starts, without the marks at its ends; without an anchor it has no text. Both orders run as
+    chunked scans, so a long document is spread over tasks.
     """
-    word = r"[\p{L}\p{N}_]+"
-    noisy = df.select(key, F.posexplode("paras").alias("para", "__p")).select(key, "para", F.posexplode(F.regexp_extract_all(F.lower("__p"), F.lit(word), 0)).alias("k", "word"))
-    clean = df.select(key, F.posexplode(F.split(F.trim(F.regexp_replace("clean", r"\s+", " ")), " ")).alias("pos", "chunk")).where("chunk <> ''")
-    clean = clean.withColumn("word", F.lower(F.regexp_replace("chunk", r"[^\p{L}\p{N}_]+", "")))
-    once = lambda d, *at: d.where("word <> ''").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in at)).where("n = 1").drop("n")
-    anchors = once(noisy, "para", "k").join(once(clean, "pos"), [key, "word"])
+    word, marks = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+
+    def keyed(ws: Column) -> Column:
+        after = F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda x, y: F.struct(x["at"].alias("at"), F.concat(x["word"], F.lit(" "), y["word"]).alias("word")))
+        return F.explode(F.concat(ws, F.filter(after, lambda x: x["word"].isNotNull())))
+
+    heard = F.transform(F.regexp_extract_all(F.lower("__p"), F.lit(word), 0), lambda x, i: F.struct(i.alias("at"), x.alias("word")))
+    noisy = df.select(key, F.posexplode("paras").alias("para", "__p")).select(key, "para", heard.alias("ws")).select(key, "para", keyed(F.col("ws")).alias("w")).select(key, "para", F.col("w.at").alias("k"), "w.word")
+    chunks = df.select(key, F.split(F.trim(F.regexp_replace("clean", r"\s+", " ")), " ").alias("c"))
+    said = F.filter(F.transform("c", lambda x, i: F.struct(i.alias("at"), F.lower(F.regexp_replace(x, marks, "")).alias("word"))), lambda x: x["word"] != "")
+    clean = chunks.select(key, said.alias("ws")).select(key, keyed(F.col("ws")).alias("w")).select(key, F.col("w.at").alias("pos"), "w.word")
+    once = lambda d, *at: d.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in at)).where("n = 1").drop("n")
+    anchors = once(noisy, "para", "k").join(once(clean, "pos"), [key, "word"]).select(key, "para", "k", "pos").distinct()
     upward = ordered_scan(anchors, [key], ["para", "k"], chunk_of("para"), running_max={"top": F.col("pos")}).where("pos = top")
     starts = upward.groupBy(key, "para").agg(F.min("pos").alias("pos"))
-    owned = ordered_scan(clean.join(starts, [key, "pos"], "left"), [key], ["pos"], chunk_of("pos"), last={"owner": F.col("para")}).where("owner IS NOT NULL")
-    return ordered_text(owned, [key, "owner"], ["pos"], "chunk").withColumnRenamed("owner", "para")
+    places = chunks.select(key, F.posexplode("c").alias("pos", "chunk")).where("chunk <> ''")
+    owned = ordered_scan(places.join(starts, [key, "pos"], "left"), [key], ["pos"], chunk_of("pos"), last={"owner": F.col("para")}).where("owner IS NOT NULL")
+    cut = F.regexp_replace(F.regexp_replace("text", f"^{marks}", ""), f"{marks}$", "")
+    return ordered_text(owned, [key, "owner"], ["pos"], "chunk").select(key, F.col("owner").alias("para"), cut.alias("text"))

@@ -65,6 +65,18 @@ def jn_author_match(t):
     return J.best_edit(left, right, 0.8).select("lid", "ltext", "match", F.col("distance").cast("bigint").alias("distance"))
 
 
+SORTED = "array_to_string(list_sort(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')), ' ')"
+
+
+@query("jn_author_match_tokens", f"""WITH a AS (SELECT p_partkey AS lid, p_type || ', ' || p_name[1:length(p_name) - 1] AS ltext FROM part), b AS (SELECT {SORTED.format(c="p_name || ' ' || p_type")} AS r, min(p_name || ' ' || p_type) AS match FROM part GROUP BY 1),
+l AS (SELECT DISTINCT {SORTED.format(c="ltext")} AS l FROM a), p AS (SELECT l, r, match, levenshtein(l, r) AS d, greatest(length(l), length(r)) AS m FROM l, b),
+best AS (SELECT * FROM p WHERE d <= floor(m * 0.2 + 1e-9) QUALIFY row_number() OVER (PARTITION BY l ORDER BY d, length(r) DESC, r) = 1)
+SELECT lid, ltext, match, d AS distance FROM a LEFT JOIN best ON best.l = {SORTED.format(c="ltext")}""")
+def jn_author_match_tokens(t):
+    left = t.part.selectExpr("p_partkey AS lid", "p_type || ', ' || substr(p_name, 1, length(p_name) - 1) AS ltext")
+    return J.best_token_edit(left, names(t)[1], 0.8).withColumn("distance", F.col("distance").cast("bigint"))
+
+
 FUZZY_D = """WITH u AS (SELECT DISTINCT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), ' ') AS s FROM part),
 p AS (SELECT x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS d, greatest(length(x.s), length(y.s)) AS m FROM u x, u y WHERE x.s < y.s)
 SELECT a, b, round(1.0 - d / CAST(m AS DOUBLE), 4) AS weight FROM p WHERE d <= floor(m * 0.25 + 1e-9)"""
@@ -481,15 +493,18 @@ def jn_measure_bind(t):
 
 @query("jn_merge_prose", f"""WITH {duck.LINES},
 para AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS para, lower(text) AS p FROM doc_line WHERE trim(text) <> ''),
-noisy AS (SELECT doc_id, para, i AS k, w[i] AS word FROM (SELECT doc_id, para, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, para, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+') AS w FROM para))),
+noisyw AS (SELECT doc_id, para, i AS k, w[i] AS word FROM (SELECT doc_id, para, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, para, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+') AS w FROM para))),
+noisy AS (SELECT doc_id, para, k, word FROM noisyw UNION ALL SELECT doc_id, para, k, word || ' ' || nxt FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id, para ORDER BY k) AS nxt FROM noisyw) WHERE nxt IS NOT NULL),
 clean AS (SELECT doc_id, i AS pos, c[i] AS chunk, lower(regexp_replace(c[i], '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS word
   FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS c FROM documents)) WHERE c[i] <> ''),
+cleanw AS (SELECT * FROM clean WHERE word <> ''),
+keys AS (SELECT doc_id, pos, word FROM cleanw UNION ALL SELECT doc_id, pos, word || ' ' || nxt FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM cleanw) WHERE nxt IS NOT NULL),
 a AS (SELECT doc_id, word, min(para) AS para, min(k) AS k FROM noisy GROUP BY ALL HAVING count(*) = 1),
-b AS (SELECT doc_id, word, min(pos) AS pos FROM clean WHERE word <> '' GROUP BY ALL HAVING count(*) = 1),
-up AS (SELECT doc_id, para, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY para, k) AS top FROM a JOIN b USING (doc_id, word)),
+b AS (SELECT doc_id, word, min(pos) AS pos FROM keys GROUP BY ALL HAVING count(*) = 1),
+up AS (SELECT doc_id, para, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY para, k) AS top FROM (SELECT DISTINCT doc_id, para, k, pos FROM a JOIN b USING (doc_id, word))),
 s AS (SELECT doc_id, para, min(pos) AS pos FROM up WHERE pos = top GROUP BY ALL),
 o AS (SELECT clean.doc_id, clean.pos, chunk, last_value(para IGNORE NULLS) OVER (PARTITION BY clean.doc_id ORDER BY clean.pos) AS para FROM clean LEFT JOIN s ON clean.doc_id = s.doc_id AND clean.pos = s.pos)
-SELECT doc_id, para, string_agg(chunk, ' ' ORDER BY pos) AS text FROM o WHERE para IS NOT NULL GROUP BY ALL""")
+SELECT doc_id, para, regexp_replace(regexp_replace(string_agg(chunk, ' ' ORDER BY pos), '^[^\\p{{L}}\\p{{N}}_]+', ''), '[^\\p{{L}}\\p{{N}}_]+$', '') AS text FROM o WHERE para IS NOT NULL GROUP BY ALL""")
 def jn_merge_prose(t):
     lines = text_lines(t.documents, "doc_id").where("trim(text) <> ''")
     paras = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.lower(x["text"])).alias("paras"))
