@@ -59,7 +59,7 @@ def with_score(docs: DataFrame, name: str, scorer: Callable[[], Callable[[pa.Arr
 
     def run(batches):
         score = scorer()
-        for part in slices(batches, text, size=8 << 20):
+        for part in slices(batches, text, size=4 << 20):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(texts(part, text)).astype(np.float64))], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from paperloom.llm.labelled import sample, sigmoid, temperature, with_score
 from paperloom.llm.words import batch_of, slices, split_words, texts
 
 UNITS, DIM = 8192, 32
+STEP = 1 << 15  # words whose vectors are spread out at once
 
 
 def units_of(words: list[str]) -> np.ndarray:
@@ -59,12 +60,21 @@ def contexts(docs: DataFrame, reach: int = 2, text: str = "text") -> tuple[np.nd
                 continue
             u = units_of(words.to_pylist())
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            around = neighbours((index[u[:, 0]] + index[u[:, 1]])[codes], owner, reach)
-            order = np.argsort(codes, kind="stable")
+            word = index[u[:, 0]] + index[u[:, 1]]
+            by_word = np.zeros_like(word)
+            for at in range(0, len(codes), STEP):
+                lo, hi = max(0, at - reach), min(len(codes), at + STEP + reach)
+                own = codes[at : at + STEP]
+                around = neighbours(word[codes[lo:hi]], owner[lo:hi], reach)[at - lo :][: len(own)]
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+                by_word[own[order][first]] += np.add.reduceat(around[order], first, axis=0)
             n = np.bincount(codes, minlength=len(u))
-            by_word = np.add.reduceat(around[order], np.cumsum(n) - n, axis=0)
             for k in range(2):
-                np.add.at(total, u[:, k], by_word)
+                order = np.argsort(u[:, k], kind="stable")
+                own = u[order, k]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                total[own[first]] += np.add.reduceat(by_word[order], first, axis=0)
                 count += np.bincount(u[:, k], weights=n, minlength=UNITS).astype(np.int64)
         some = np.flatnonzero(count)
         yield batch_of(schema, some.astype(np.int32), count[some], *(np.rint(total[some, d]).astype(np.int64) for d in range(DIM)))
@@ -97,12 +107,17 @@ def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
     if not len(some):
         return out
     u = units_of(words.to_pylist())
-    x = (vectors[u[:, 0]] + vectors[u[:, 1]])[codes]
+    word = vectors[u[:, 0]] + vectors[u[:, 1]]
     owner = np.repeat(np.arange(len(n)), n)
-    pairs = np.zeros_like(x)
-    pairs[:-1] = x[:-1] * x[1:] * (owner[1:] == owner[:-1])[:, None]
-    for k, v in enumerate((x, x * x, pairs)):
-        out[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(v, offsets[:-1][some], axis=0, dtype=np.float32) / (n[some] if k < 2 else np.maximum(n[some] - 1, 1))[:, None]
+    for at in range(0, len(codes), STEP):
+        x, own = word[codes[at : at + STEP + 1]], owner[at : at + STEP + 1]
+        pairs = x[:-1] * x[1:] * (own[1:] == own[:-1])[:, None]
+        k = min(STEP, len(codes) - at)
+        first = np.flatnonzero(np.concatenate(([True], own[1:k] != own[: k - 1])))
+        for j, v in enumerate((x[:k], x[:k] * x[:k], pairs if len(pairs) == k else np.concatenate((pairs, np.zeros_like(x[:1]))))):
+            out[own[first], j * DIM : (j + 1) * DIM] += np.add.reduceat(v, first, axis=0)
+    out[some, : 2 * DIM] /= n[some, None]
+    out[some, 2 * DIM : 3 * DIM] /= np.maximum(n[some] - 1, 1)[:, None]
     out[:, -1] = np.log1p(n)
     return out
 
