@@ -88,7 +88,9 @@ class WordTokenizer:
         parts = list(dict.fromkeys(parts))
         out = {}
         groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        # a few groups at a time: the library's results take much more memory than the ids
+        encoded = (e for i in range(0, len(groups), 16) for e in self.tok.encode_batch_fast([" ".join(g) for g in groups[i : i + 16]], add_special_tokens=False))
+        for group, e in zip(groups, encoded):
             ids = np.array(e.ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
