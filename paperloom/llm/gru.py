@@ -20,9 +20,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities and log of the sum, by rows."""
     top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
+    e = x - top
+    np.exp(e, out=e)
     s = e.sum(axis=1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
+    e /= s
+    return e, (np.log(s) + top)[:, 0]
 
 
 @dataclass
@@ -61,18 +63,23 @@ class Gru:
             dc = p * scale
             dc[rows, cls] -= scale
             dh, g = dc @ self.wc.T, {"wc": h.T @ dc, "bc": dc.sum(axis=0), "wo": np.zeros_like(self.wo), "bo": np.zeros_like(self.bo)}
-        for c in np.flatnonzero(np.diff(edge)):
-            at = order[edge[c] : edge[c + 1]]
-            w = self.wo[c * m : (c + 1) * m]
-            q, _ = softmax(h[at] @ w.T + self.bo[c * m : (c + 1) * m])
-            own = y[at] - c * m
-            out[at] += np.log(np.maximum(q[np.arange(len(at)), own], F32(1e-30)))
-            if grad:
-                q *= scale
-                q[np.arange(len(at)), own] -= scale
-                dh[at] += q @ w
-                g["wo"][c * m : (c + 1) * m] = q.T @ h[at]
-                g["bo"][c * m : (c + 1) * m] = q.sum(axis=0)
+        # rows by class: products class by class, everything else over all rows at once
+        by, own, some = h[order], y[order] % m, np.flatnonzero(np.diff(edge))
+        q = self.bo.reshape(-1, m)[cls[order]]
+        for c in some:
+            q[edge[c] : edge[c + 1]] += by[edge[c] : edge[c + 1]] @ self.wo[c * m : (c + 1) * m].T
+        q, _ = softmax(q)
+        out[order] += np.log(np.maximum(q[rows, own], F32(1e-30)))
+        if grad:
+            q *= scale
+            q[rows, own] -= scale
+            back = np.empty_like(by)
+            for c in some:
+                part = slice(edge[c], edge[c + 1])
+                np.matmul(q[part], self.wo[c * m : (c + 1) * m], out=back[part])
+                np.matmul(q[part].T, by[part], out=g["wo"][c * m : (c + 1) * m])
+            g["bo"].reshape(-1, m)[some] = np.add.reduceat(q, edge[some], axis=0)
+            dh[order] += back
         return (out, dh, g) if grad else out
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray):
@@ -91,16 +98,20 @@ class Gru:
         dout = np.zeros_like(states)
         dout[at] = dh
         dout = dout.reshape(len(x), -1, h.shape[1])
-        g["wh"], back, dgx = np.zeros_like(self.wh), np.zeros_like(h), np.empty((len(x), h.shape[0], self.wx.shape[1]), F32)
+        was, z, r, n, ghn = (np.stack([k[i] for k in kept]) for i in range(5))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), ghn * r * (1 - r)
+        k, back = h.shape[1], np.zeros_like(h)
+        dgh, dn = np.empty((len(x), h.shape[0], 3 * k), F32), np.empty_like(z)
         for t in range(len(x) - 1, -1, -1):
-            was, z, r, n, ghn, _ = kept[t]
             d = dout[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dr = d * (was - n) * z * (1 - z), dn * ghn * r * (1 - r)
-            dgh = np.concatenate((dz, dr, dn * r), axis=1)
-            dgx[t] = np.concatenate((dz, dr, dn), axis=1)
-            g["wh"] += was.T @ dgh
-            back = (d * z + dgh @ self.wh.T) * ~fresh[t][:, None]
+            np.multiply(d, by_n[t], out=dn[t])
+            np.multiply(d, by_z[t], out=dgh[t, :, :k])
+            np.multiply(dn[t], by_r[t], out=dgh[t, :, k : 2 * k])
+            np.multiply(dn[t], r[t], out=dgh[t, :, 2 * k :])
+            back = (d * z[t] + dgh[t] @ self.wh.T) * ~fresh[t][:, None]
+        g["wh"] = was.reshape(-1, k).T @ dgh.reshape(-1, 3 * k)
+        dgx = dgh.copy()
+        dgx[:, :, 2 * k :] = dn
         g["wx"] = np.zeros_like(self.wx)
         order = np.argsort(x.ravel(), kind="stable")
         own = x.ravel()[order]
@@ -187,13 +198,23 @@ class Adam:
 
     def apply(self, g: dict) -> None:
         self.n += 1
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        cut = F32(min(1.0, 1.0 / max(size, 1e-9)))
+        size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        cut, rate, full = F32(min(1.0, 1.0 / max(size, 1e-9))), F32(self.rate / (1 - 0.9**self.n)), F32((1 - 0.99**self.n) ** -0.5)
         for k, x in g.items():
-            x = x * cut
-            self.m[k] += F32(0.1) * (x - self.m[k])
-            self.v[k] += F32(0.01) * (x * x - self.v[k])
-            getattr(self.net, k)[...] -= F32(self.rate / (1 - 0.9**self.n)) * self.m[k] / (np.sqrt(self.v[k] / F32(1 - 0.99**self.n)) + F32(1e-6))
+            x *= cut
+            m, v = self.m[k], self.v[k]
+            m *= F32(0.9)
+            m += F32(0.1) * x
+            x *= x
+            v *= F32(0.99)
+            x *= F32(0.01)
+            v += x
+            np.sqrt(v, out=x)
+            x *= full
+            x += F32(1e-6)
+            np.divide(m, x, out=x)
+            x *= rate
+            getattr(self.net, k)[...] -= x
 
 
 def train(net: Gru, adam: Adam, symbols: np.ndarray, lengths: np.ndarray, most: int = 128, steps: int = 16) -> None:

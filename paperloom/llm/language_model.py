@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import gru
-from paperloom.llm.words import batch_of, per_text, slices, split_words, spread, texts, with_row_id
+from paperloom.llm.words import batch_of, per_text, slices, split_words, texts, with_row_id
 from paperloom.session import checkpointed
 
 END = "\n"  # the end token, which no word can be
@@ -125,14 +124,14 @@ def with_ends(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndar
     return out, lengths
 
 
-def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 48, common: int = 300_000, share: int = 4, steps: int = 16, rate: float = 0.01, rounds: int = 1) -> tuple[Model, DataFrame]:
-    """The model of the texts in ``docs`` (columns ``text`` and ``key``) and the counts ``word, n`` of all their tokens.
+def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 48, common: int = 300_000, steps: int = 16, rate: float = 0.01, rounds: int = 1) -> tuple[Model, DataFrame]:
+    """The model of the texts in ``docs`` (column ``text``) and the counts ``word, n`` of all their tokens.
 
     Symbols: the end, the most frequent words, and for other words one symbol for each first byte; a word behind such a symbol
     has its share of the counts, mixed with a byte model of the spelling of all distinct words. Counts, shares and
-    spellings come from all texts. The network takes from every text one run of ``1 / share`` of its windows (at a place
-    given by its key), so its work grows with the input; each task trains a copy, Spark averages the copies by tokens,
-    in blocks and two steps, so no task or driver holds more than a part of them.
+    spellings come from all texts. The network takes every window of every text, the state carried from the text's start;
+    each task trains a copy, Spark averages the copies by tokens, in blocks and two steps, so no task or driver holds more
+    than a part of them.
     """
     counts = checkpointed(token_counts(docs))
     listed = classes * members - 257
@@ -164,11 +163,11 @@ def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 4
     net = gru.initial(log_share, members, hidden)
     model = Model(dict(zip(inner, place[: len(inner)].tolist())), place[len(inner) :], net, names, n, spelling(grams["gram"].to_numpy().astype(np.int64), grams["n"].to_numpy()), tokens, types, mixed, mixed / np.maximum(per_byte, 1))
     for _ in range(rounds):
-        model.net = averaged(docs, model, share, steps, rate)
+        model.net = averaged(docs, model, steps, rate)
     return model, counts
 
 
-def averaged(docs: DataFrame, model: Model, share: int, steps: int, rate: float) -> gru.Gru:
+def averaged(docs: DataFrame, model: Model, steps: int, rate: float) -> gru.Gru:
     """One round: every task trains a copy of the network on its texts; the copies are averaged by the tokens they saw."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("tokens", pa.float64()), ("sum", pa.binary())])
     sql = "part int, block int, tokens double, sum binary"
@@ -179,13 +178,8 @@ def averaged(docs: DataFrame, model: Model, share: int, steps: int, rate: float)
         for part in slices(batches, rows=8192, size=8 << 20):
             codes, offsets, words = split_words(lowered(part))
             flat, lengths = with_ends(model.symbols(words.to_pylist())[codes], offsets, 0)
-            windows = -(-lengths // steps)
-            used = -(-windows // share)
-            start = np.array([zlib.crc32(str(k).encode()) for k in part.column(1).to_pylist()], dtype=np.int64) % (windows - used + 1) * steps
-            n = np.minimum(used * steps, lengths - start)
-            chosen = flat[spread(np.cumsum(lengths) - lengths + start, n)]
-            gru.train(net, adam, chosen, n, steps=steps)
-            seen += len(chosen)
+            gru.train(net, adam, flat, lengths, steps=steps)
+            seen += len(flat)
         if seen:
             flat = net.packed().astype(np.float64) * seen
             for b, at in enumerate(range(0, len(flat), BLOCK)):
@@ -195,7 +189,7 @@ def averaged(docs: DataFrame, model: Model, share: int, steps: int, rate: float)
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in group["sum"])
         return pa.Table.from_batches([batch_of(schema, [0], [group["block"][0].as_py()], [float(sum(group["tokens"].to_pylist()))], [total.tobytes()])])
 
-    copies = docs.select("text", "key").mapInArrow(run, sql)
+    copies = docs.select("text").mapInArrow(run, sql)
     blocks = copies.groupBy("part", "block").applyInArrow(added, sql).groupBy("block").applyInArrow(added, sql).toArrow().sort_by("block").to_pylist()
     if not blocks:
         return model.net

@@ -276,6 +276,19 @@ def test_language_model(spark, from_files, no_docs):
     assert all(r.base_score == 0 and r.n_known == 0 for r in language_model.score(from_files, empty, none).collect())
 
 
+def test_network_trains_on_every_window(spark):
+    from paperloom.llm import gru
+
+    texts = [" ".join(f"w{i}x{j % 7}" for j in range(n)) for i, n in enumerate((3, 16, 70, 200))]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string").coalesce(1)
+    model, _ = language_model.train(docs, classes=20, members=20)
+    model.net, plain = (gru.initial(np.log(np.full(400, 1 / 400)), 20, 16) for _ in range(2))
+    codes = [np.append(model.symbols(t.split()), 0) for t in texts]
+    gru.train(plain, gru.Adam(plain, 0.01), np.concatenate(codes), np.array([len(c) for c in codes]))
+    got = language_model.averaged(docs, model, 16, 0.01).packed()
+    assert np.allclose(got, plain.packed(), atol=1e-4)
+
+
 def test_probabilities_sum_to_one():
     from paperloom.llm import gru
 
