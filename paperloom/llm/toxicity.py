@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,21 +95,47 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest meant word: Viterbi over the lattice, a state is the last two characters."""
-    best = {(0, 0): (0.0, "")}
-    for choices in lattice(word) + [[("\n", 0.0)]]:
+@lru_cache(4096)
+def kinds_of(show: str) -> tuple[int, ...]:
+    return tuple(coded(show).tolist())
+
+
+def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest path through a lattice of any length; a state is the last two characters, its path a chain of choices."""
+    best: dict = {(0, 0): (0.0, None)}
+    for choices in places + [[("\n", 0.0)]]:
         nxt: dict = {}
         for (a, b), (cost, said) in best.items():
             for show, price in choices:
                 p, q, total = a, b, cost + price
-                for k in coded(show).tolist() if show else ():
+                for k in kinds_of(show):
                     total -= float(model[p, q, k])
                     p, q = q, k
                 if (p, q) not in nxt or total < nxt[p, q][0]:
-                    nxt[p, q] = (total, said + show)
+                    nxt[p, q] = (total, (said, show))
         best = nxt
-    return min(best.values())[1].rstrip("\n")
+    _, at = min(best.values(), key=lambda x: x[0])
+    out = []
+    while at is not None:
+        at, show = at
+        out.append(show)
+    return "".join(reversed(out)).rstrip("\n")
+
+
+def restore(word: str, model: np.ndarray) -> str:
+    """The likeliest meant word."""
+    return viterbi(lattice(word), model)
+
+
+def restore_run(singles: list[str], model: np.ndarray) -> list[str]:
+    """Words of a run of single characters: each blank is dropped or is a word boundary, whichever is likelier over the whole run."""
+    places: list = []
+    for c in singles:
+        places += [[("", 0.0), (" ", 0.0)], [(c, COST["same"])] + [(x, COST["leet"]) for x in LEET.get(c, "")]]
+    said = [w for x in viterbi(places[1:], model).split(" ") if (w := plain(x))]
+    whole = "".join(said)
+    # the run as one word stays a reading of its first word
+    return [said[0] + (" " + whole if len(said) > 1 else ""), *said[1:]] if said else [""]
 
 
 def plain(word: str) -> str:
@@ -137,8 +164,8 @@ class Restorer:
 
 
 def names_of(word: str) -> list[str]:
-    """A word, marked, and its beginnings."""
-    return ["=" + word] + [word[:k] for k in LENGTHS if len(word) >= k]
+    """A word, marked, and its beginnings; of all readings where there are several, with blanks between them."""
+    return [name for x in word.split(" ") for name in ["=" + x] + [x[:k] for k in LENGTHS if len(x) >= k]]
 
 
 def bucket(name: str) -> int:
@@ -146,7 +173,7 @@ def bucket(name: str) -> int:
 
 
 def restored(col: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes, text offsets and distinct words of the restored texts; runs of three or more single characters become a word."""
+    """Codes, text offsets and distinct words of the restored texts; runs of three or more single characters become words."""
     codes, offsets, words = split_words(col)
     names = words.to_pylist()
     out = [restorer(w) for w in names]
@@ -160,26 +187,22 @@ def restored(col: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray,
         runs = [(s, n) for s, n in zip(start[on[start]].tolist(), size[on[start]].tolist()) if n > 2]
         if runs:
             codes, drop = codes.copy(), np.zeros(len(codes), dtype=bool)
-            seen: dict[str, int] = {}
+            seen: dict[str, list[int]] = {}
             for s, n in runs:
-                said = " ".join(names[c] for c in codes[s : s + n].tolist()).lower()
-                if len(set(said)) <= 2:  # one character again and again
+                said = "".join(names[c] for c in codes[s : s + n].tolist()).lower()
+                if len(set(said)) < 2:  # one character again and again
                     continue
                 if said not in seen:
-                    seen[said] = len(out)
-                    out.append(restorer_joined(said, restorer))
-                codes[s] = seen[said]
-                drop[s + 1 : s + n] = True
+                    run = restore_run(list(said), restorer.model)
+                    seen[said] = list(range(len(out), len(out) + len(run)))
+                    out += run
+                codes[s : s + len(seen[said])] = seen[said]
+                drop[s + len(seen[said]) : s + n] = True
             kept = np.concatenate(([0], np.cumsum(~drop)))
             codes, offsets = codes[~drop], kept[offsets]
     return codes, offsets, out
 
 
-def restorer_joined(said: str, restorer: Restorer) -> str:
-    """Singles with blanks between them, read as one word; a long run is read in parts of 64 places."""
-    return plain("".join(restore(said[i : i + 64], restorer.model) for i in range(0, len(said), 64)).replace(" ", ""))
-
-
 @dataclass
 class Model:
     characters: np.ndarray

@@ -83,6 +83,16 @@ def test_disguised_words_are_restored():
     assert said == [["an", "idiot", "here"], [], ["a", "a", "a", "a"], ["loser"]] or said[0] == ["an", "idiot", "here"] and said[3] == ["loser"]
 
 
+def test_spaced_words_come_apart():
+    restorer = toxicity.Restorer(characters(["such a moron", "i hate you idiot", "an idiot i am", "a clown you moron", "you idiot you moron you"]))
+    read = {"such a m o r o n": {"a", "moron"}, "I h a t e you": {"i", "hate"}, "y o u i d i o t": {"you", "idiot"}, "a n i d i o t": {"an", "idiot"}, "an i d i o t here": {"idiot"}, "x " + "y o u m o r o n " * 20: {"you", "moron"}}
+    for text, want in read.items():
+        codes, offsets, words = toxicity.restored(pa.array([text, "river stone"]), restorer)
+        got = {"=" + w for w in want}
+        assert got <= {f for c in codes[: offsets[1]] for f in toxicity.names_of(words[c])}, text
+        assert [words[c] for c in codes[offsets[1] :]] == ["river", "stone"]
+
+
 def best_by_trying_all(word, model):
     out = [(0.0, "")]
     for choices in toxicity.lattice(word) + [[("\n", 0.0)]]:
