@@ -19,9 +19,17 @@ from paperloom.llm.words import batch_of, slices, spread, split_words, texts
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x"}
 SEPARATORS = ".-_*~/"
 DIGIT, SIGN, OTHER, EXT, KINDS = 60, 61, 62, 59, 64
-COST = {"same": 0.0, "leet": 1.2, "drop": 0.4, "fold": 0.3}  # negative log probabilities of the channel
+COST = {"same": 0.0, "leet": 1.2, "drop": 0.4, "fold": 0.3, "pair": 1.2}  # negative log probabilities of the channel
 
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*#%]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9]+$|([^\W\d_])\1\1|^(?:[^\W_][.\-_*~/]){2,}[^\W_]$")
+MAPPED = "".join(re.escape(c) for c in LEET if not c.isdigit())
+#: What may disguise a word in any place: a mapped sign or digit, a separator, a repeated letter.
+MAYBE = re.compile(rf"[{MAPPED}0-9.\-_~/]|([^\W\d_])\1")
+#: Neither a letter nor two signs that may stand for one: a number, a price, plain punctuation.
+NO_WORD = re.compile(rf"^(?!.*[^\W\d_])(?:.*\d|[^{MAPPED}]*[{MAPPED}]?[^{MAPPED}]*$)", re.S)
+OUTSIDE = re.compile(rf"^[^\w{MAPPED}]+|[^\w{MAPPED}]+$")
+EDGE_SIGNS = re.compile(rf"^[{MAPPED}]+|[{MAPPED}]+$")
+SPACED = re.compile(r"(?:[^\s.\-_*~/][.\-_*~/]+)+[^\s.\-_*~/]")
 EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w]+$")
 LENGTHS = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 20
@@ -73,8 +81,11 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((n + 5 * two[None]) / (n.sum(axis=2) + 5)[:, :, None]).astype(np.float32)
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Choices at each place of a word: what was meant, and what it costs that the channel shows it so."""
+def lattice(word: str, pairs: bool = False) -> list[list[tuple[str, float]]]:
+    """Choices at each place of a word: what was meant, and what it costs that the channel shows it so.
+
+    With ``pairs`` a doubled letter may stand for one.
+    """
     out, at = [], 0
     spaced = re.fullmatch(r"(?:[^\W_][.\-_*~/ ])+[^\W_]", word) is not None
     while at < len(word):
@@ -89,6 +100,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
                 out.append([(c, COST["same"])] + [(x, COST["leet"]) for x in LEET[c]])
         elif run > 2 and c.isalpha():
             out.append([(c, COST["fold"]), (c * 2, COST["fold"]), (c * run, COST["same"])])
+        elif run == 2 and pairs and c.isalpha():
+            out.append([(c, COST["pair"]), (c * 2, COST["same"])])
         else:
             out.extend([[(c, COST["same"])]] * run)
         at = end
@@ -127,6 +140,22 @@ def restore(word: str, model: np.ndarray) -> str:
     return viterbi(lattice(word), model)
 
 
+def bare(word: str, model: np.ndarray) -> list[str]:
+    """The likeliest words with separators left out and doubled letters perhaps single; signs at each edge are letters or left out."""
+    word = OUTSIDE.sub("", word)
+    if SPACED.fullmatch(word):
+        word = re.sub(r"[.\-_*~/]", "", word)
+    word = re.sub(r"[.\-_~/]", "", word)
+    edges = {i for m in EDGE_SIGNS.finditer(word) for i in range(*m.span())}
+    first = next((i for i in range(len(word)) if i not in edges), len(word))
+    last = max((i + 1 for i in range(len(word)) if i not in edges), default=len(word))
+    forced = lambda part: [[(x, COST["leet"]) for x in LEET[c]] for c in part]
+    if first == len(word):
+        return [viterbi(forced(word), model)]
+    core = lattice(word[first:last], True)
+    return [viterbi(a + core + b, model) for a in ([forced(word[:first]), []] if first else [[]]) for b in ([forced(word[last:]), []] if last < len(word) else [[]])]
+
+
 def restore_run(singles: list[str], model: np.ndarray) -> list[str]:
     """Words of a run of single characters: each blank is dropped or is a word boundary, whichever is likelier over the whole run."""
     places: list = []
@@ -154,12 +183,18 @@ class Restorer:
 
     def __call__(self, word: str) -> str:
         word = plain(word)
-        if not SUSPECT.search(word):
-            return word
+        return plain(restore(word, self.model)) if SUSPECT.search(word) else word
+
+    def readings(self, word: str) -> str:
+        """The restored word and, where they differ, the words that ``bare`` reads, with blanks between them."""
+        word = word.lower()
+        if not MAYBE.search(word):
+            return plain(word)
         if (out := self.known.get(word)) is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            out = self.known[word] = plain(restore(word[:64], self.model) + word[64:])
+            both = [self(word)] if NO_WORD.search(word) else [self(word), *map(plain, bare(word, self.model))]
+            out = self.known[word] = " ".join(x for x in dict.fromkeys(both) if x)
         return out
 
 
@@ -173,10 +208,10 @@ def bucket(name: str) -> int:
 
 
 def restored(col: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes, text offsets and distinct words of the restored texts; runs of three or more single characters become words."""
+    """Codes, text offsets and readings of the distinct words of the restored texts; runs of three or more single characters become words."""
     codes, offsets, words = split_words(col)
     names = words.to_pylist()
-    out = [restorer(w) for w in names]
+    out = [restorer.readings(w) for w in names]
     single = np.array([len(w) == 1 and w not in ".,|" for w in names], dtype=bool)
     if single.any() and len(codes):
         on = single[codes]

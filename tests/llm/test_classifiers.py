@@ -93,6 +93,18 @@ def test_spaced_words_come_apart():
         assert [words[c] for c in codes[offsets[1] :]] == ["river", "stone"]
 
 
+def test_every_disguise_has_a_reading():
+    words = "the idiot clown trash pathetic stupid moron scum ass letter and loser of worthless river stone".split()
+    restorer = toxicity.Restorer(characters(words))
+    shown = {"idi" + "o" * 90 + "t": "idiot", "iidiioott": "idiot", "s--c--u--m": "scum", "tr-a-sh": "trash", "$.c.u.m": "scum", "a$$": "ass", "tras#": "trash", "@$$": "ass", "(tr@sh!)": "trash", "m" + "o" * 70 + "r0n": "moron", "letter": "letter", "s" + "-" * 70 + "cum": "scum"}
+    for word, meant in shown.items():
+        assert meant in restorer.readings(word).split(), (word, restorer.readings(word))
+    for word in ("3.14", "(100)", "$5", "stone", "2019!"):
+        assert " " not in restorer.readings(word)
+    codes, _, read = toxicity.restored(pa.array(["a tras# of iidiioott"]), restorer)
+    assert {"=trash", "=idiot"} <= {f for c in codes for f in toxicity.names_of(read[c])}
+
+
 def best_by_trying_all(word, model):
     out = [(0.0, "")]
     for choices in toxicity.lattice(word) + [[("\n", 0.0)]]:
