@@ -43,3 +43,105 @@ def edit_score(a: Column, b: Column) -> Column:
     """Similarity in percent from the edit distance."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 100.0).otherwise(100.0 * (1.0 - F.levenshtein(a, b) / longest))
+
+
+def token_sorted(s: Column) -> Column:
+    """Tokens between white space, sorted and joined by blanks, as they are written."""
+    return F.array_join(F.array_sort(F.filter(F.split(s, r"\s+"), lambda w: w != "")), " ")
+
+
+def characters(s: Column) -> Column:
+    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
+WORD_BITS = 62  # of a long, so that a sum of two never overflows
+ONES = (1 << WORD_BITS) - 1
+
+
+def bit_masks(s: Column) -> Column:
+    """For each character of a string, where it stands: a map to words of ``WORD_BITS`` bits, the first place lowest."""
+    chars, words = characters(s), F.greatest(F.ceil(F.length(s) / WORD_BITS).cast("int"), F.lit(1))
+    one = lambda c, w: F.aggregate(
+        F.slice(F.transform(chars, lambda x, i: F.when(x == c, i).otherwise(F.lit(-1))), w * WORD_BITS + 1, F.lit(WORD_BITS)), F.lit(0).cast("bigint"),
+        lambda m, i: F.when(i < 0, m).otherwise(m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(i, F.lit(WORD_BITS)).cast("int")))))
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.transform(F.sequence(F.lit(0), words - 1), lambda w: one(c, w)))))
+
+
+def common_length(masks: Column, length: Column, other: Column) -> Column:
+    """Length of the longest common subsequence of the string behind ``masks`` (``bit_masks``, ``length`` characters) and ``other``.
+
+    Zeros in a row of bits count the subsequence; each character of ``other`` costs a sum and three bit operations for every
+    ``WORD_BITS`` characters, with the carry passed on from word to word.
+    """
+    words = F.greatest(F.ceil(length / WORD_BITS).cast("int"), F.lit(1))
+    ones, zero = F.lit(ONES).cast("bigint"), F.lit(0).cast("bigint")
+
+    def narrow(v: Column, m: Column) -> Column:
+        mask = m[0]
+        return (v + v.bitwiseAND(mask)).bitwiseAND(ones).bitwiseOR(v.bitwiseAND(F.bitwise_not(mask)))
+
+    def wide(v: Column, m: Column) -> Column:
+        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def word(s, w):
+            a, mask = F.get(v, w), F.get(m, w)
+            total = a + a.bitwiseAND(mask) + s["carry"]
+            new = total.bitwiseAND(ones).bitwiseOR(a.bitwiseAND(F.bitwise_not(mask)))
+            return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.concat(s["out"], F.array(new)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), words - 1), start, word, lambda s: s["out"])
+
+    def step(state, c, apply):
+        mask = F.element_at(masks, c)
+        return F.when(mask.isNull(), state).otherwise(apply(state, mask))
+
+    chars = characters(other)
+    short = F.aggregate(chars, ones, lambda v, c: step(v, c, narrow), lambda v: WORD_BITS - F.bit_count(v))
+    long = F.aggregate(chars, F.array_repeat(ones, words), lambda v, c: step(v, c, wide), lambda v: words * WORD_BITS - F.aggregate(v, F.lit(0), lambda n, x: n + F.bit_count(x)))
+    return F.when(words == 1, short).otherwise(long)
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over all characters: the longest common block first, then left and right of it.
+
+    Of equally long blocks the first of ``a`` counts, then the first of ``b``. What is open is a list of pairs of strings; a block's
+    length is found by halving, because a common block holds common ones of every smaller length. Two empty strings give one.
+    """
+    piece = "array<struct<a: string, b: string>>"
+
+    def shared(x: Column, y: Column, size: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda i: F.instr(y, F.substring(x, i, size)) > 0)
+
+    def longest(x: Column, y: Column) -> Column:
+        most = F.least(F.length(x), F.length(y))
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(most + 1.0)).cast("int") + 1)
+        start = F.struct(F.lit(0).alias("lo"), most.alias("hi"))
+
+        def halve(s, _):
+            mid = F.ceil((s["lo"] + s["hi"]) / 2).cast("int")
+            hit = (s["lo"] < s["hi"]) & shared(x, y, mid)
+            return F.struct(F.when(hit, mid).otherwise(s["lo"]).alias("lo"), F.when(hit, s["hi"]).otherwise(F.greatest(s["lo"], mid - 1)).alias("hi"))
+
+        return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+    def block(x: Column, y: Column) -> Column:
+        """Length and place in either string."""
+        found = F.transform(F.array(longest(x, y)), lambda n: F.struct(n.alias("n"), F.array_position(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.instr(y, F.substring(x, i, n)) > 0), F.lit(True)).cast("int").alias("i")))
+        return F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["i"].alias("i"), F.instr(y, F.substring(x, f["i"], f["n"])).alias("j")))[0]
+
+    def work(s, _):
+        x, y = s["open"][0]["a"], s["open"][0]["b"]
+        cut = F.transform(F.array(block(x, y)), lambda f: F.struct(
+            (s["hits"] + f["n"]).alias("hits"),
+            F.concat(F.when(f["n"] > 0, F.filter(F.array(
+                F.struct(F.substring(x, F.lit(1), f["i"] - 1).alias("a"), F.substring(y, F.lit(1), f["j"] - 1).alias("b")),
+                F.struct(F.substring(x, f["i"] + f["n"], F.length(x)).alias("a"), F.substring(y, f["j"] + f["n"], F.length(y)).alias("b"))),
+                lambda p: (p["a"] != "") & (p["b"] != ""))).otherwise(F.array().cast(piece)), F.slice(s["open"], F.lit(2), F.size(s["open"]))).alias("open")))[0]
+        return F.when(F.size(s["open"]) == 0, s).otherwise(cut)
+
+    first = F.when((a != "") & (b != ""), F.array(F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast(piece))
+    rounds = F.sequence(F.lit(1), 2 * F.least(F.length(a), F.length(b)) + 1)
+    hits = F.aggregate(rounds, F.struct(F.lit(0).alias("hits"), first.alias("open")), work, lambda s: s["hits"])
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * hits / total)

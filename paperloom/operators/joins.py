@@ -6,10 +6,13 @@ come from two ordered scans; one-to-one matching runs in rounds over candidate p
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
+from paperloom.functions import similarity as M
 from paperloom.functions.latex import INLINE_MATH
 from paperloom.functions.quantity import convert
 from paperloom.functions.similarity import sorted_tokens
@@ -108,6 +111,55 @@ def best_token_edit(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return lt.join(best, "__l", "left").select("lid", "ltext", "match", "distance")
 
 
+def indel_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of strings whose insert-delete similarity reaches ``threshold`` percent: ``ltext, rtext, score``.
+
+    ``left``: ltext; ``right``: rtext. Equal strings fold to one on either side. A string's bigrams (its ends marked, repeats
+    numbered) are put in one global order, the rarest first. Of strings ``n`` and ``m`` long at a distance of at most ``D``, each
+    deleted character breaks two bigrams of the first and each inserted one breaks one; so the first bigrams of both, one more than
+    can break, share one. Only those meet in the join, as far as lengths allow it, and the common subsequence decides.
+    """
+    if threshold <= 200 / 3:
+        raise ValueError("the filter by bigrams needs a threshold above 67 percent")
+    loss = 1 - float(threshold) / 100
+    lt, rt = left.select("ltext").where("ltext <> ''").distinct(), right.select("rtext").where("rtext <> ''").distinct()
+
+    def grams(d, text):
+        marked = F.concat(F.lit("\u0002"), F.col(text), F.lit("\u0003"))
+        listed = F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+        return d.select(text, F.explode(listed).alias("g")).groupBy(text, "g").agg(F.count(F.lit(1)).alias("n")).select(text, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), "g")
+
+    def first(d, text, n):
+        """The bigrams of a string that decide where it is looked for: one more than any admitted partner may lack."""
+        broken = F.floor(4 * loss / (1 + loss) * F.length(text) + 1e-9).cast("int")
+        ranked = d.join(often, ["g", "i"]).groupBy(text).agg(F.array_sort(F.collect_list(F.struct("f", "g", "i"))).alias("o"))  # as many as the string is long
+        return ranked.select(text, F.length(text).alias(n), F.explode(F.slice("o", F.lit(1), broken + 1)).alias("o")).select(text, n, "o.g", "o.i")
+
+    lg, rg = checkpointed(grams(lt, "ltext")), checkpointed(grams(rt, "rtext"))
+    often = lg.unionByName(rg.withColumnRenamed("rtext", "ltext")).groupBy("g", "i").agg(F.count(F.lit(1)).alias("f"))
+    apart = F.floor(loss * (F.col("n") + F.col("m")) + 1e-9)
+    cand = first(lg, "ltext", "n").join(first(rg, "rtext", "m"), ["g", "i"]).where(F.abs(F.col("n") - F.col("m")) <= apart).select("ltext", "rtext").distinct()
+    met = cand.join(lt.select("ltext", M.bit_masks(F.col("ltext")).alias("masks")), "ltext")
+    score = 200.0 * M.common_length(F.col("masks"), F.length("ltext"), F.col("rtext")) / (F.length("ltext") + F.length("rtext"))
+    return met.select("ltext", "rtext", score.alias("score")).where(F.col("score") >= threshold - 1e-9)
+
+
+def token_sort_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``lid, rid, score`` of rows whose tokens, sorted and joined, reach ``threshold`` percent. ``left``: lid, ltext; ``right``: rid, rtext."""
+    lt, rt = left.withColumn("__l", M.token_sorted(F.col("ltext"))), right.withColumn("__r", M.token_sorted(F.col("rtext")))
+    near = indel_pairs(lt.select(F.col("__l").alias("ltext")), rt.select(F.col("__r").alias("rtext")), threshold).selectExpr("ltext AS __l", "rtext AS __r", "score")
+    return lt.join(near, "__l").join(rt, "__r").select("lid", "rid", "score")
+
+
+def best_token_sort(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``lid, ltext, match, score``: the right text of the highest token-sort score, ties by text; null below the threshold."""
+    lt, rt = left.withColumn("__l", M.token_sorted(F.col("ltext"))), right.withColumn("__r", M.token_sorted(F.col("rtext")))
+    named = rt.groupBy("__r").agg(F.min("rtext").alias("match"))
+    near = indel_pairs(lt.select(F.col("__l").alias("ltext")), rt.select(F.col("__r").alias("rtext")), threshold).selectExpr("ltext AS __l", "rtext AS __r", "score")
+    best = near.join(named, "__r").groupBy("__l").agg(F.min_by(F.struct("match", "score"), F.struct(-F.round("score", 9), F.col("match"))).alias("b"))
+    return lt.join(best, "__l", "left").select("lid", "ltext", F.col("b.match").alias("match"), F.col("b.score").alias("score"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, y: str, width: float) -> DataFrame:
     """Nearest right row of every left row along ``y``; of two at the same distance the earlier one.
 
@@ -399,6 +451,7 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, evidence: DataFrame
     return out.join(evidence.select(key, F.lit(True).alias("backed")).distinct(), key, "left").withColumn("backed", F.coalesce("backed", F.lit(False)))
 
 
+# Fixed values.
 AUTHOR_STOP = ["in", "the", "see", "eq", "fig", "figure", "table", "section", "appendix", "no", "yes", "note", "cf", "via", "and", "or", "of",
                "from", "with", "left", "right", "top", "bottom", "where", "for", "all", "e", "i"]
 
@@ -511,30 +564,86 @@ def bind_measures(sents: DataFrame, quantities: DataFrame, concepts: DataFrame)
     return q.where("__c IS NULL").join(near, "sent_id", "left").join(conds, "sent_id", "left").select("sent_id", "concept", "measure", F.col("value").alias("amount"), "fo", "conditions")
 
 
-def merge_prose(df: DataFrame, key: str) -> DataFrame:
-    """Re-cut a clean text by the paragraph bounds of a noisy one: ``key, para, text``. Row input: key, paras (ordered), clean.
+def longest_rise(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """A longest chain of ``k, pos`` pairs that rises in both, for each key.
+
+    The chain is found by patience piles over two numbers for each anchor; a key has at most as many as its text has words,
+    and the text itself is one row already.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def pick(group: pa.Table) -> pa.Table:
+        k, pos = group["k"].to_numpy(), group["pos"].to_numpy()
+        order = np.lexsort((-pos, k))  # of one k the later places first, so that a chain takes one of them
+        ends, top, under = [], [], np.full(len(order), -1)
+        for i, p in enumerate(pos[order].tolist()):
+            at = bisect_left(ends, p)
+            under[i] = top[at - 1] if at else -1
+            if at == len(ends):
+                ends.append(p)
+                top.append(i)
+            else:
+                ends[at], top[at] = p, i
+        chain, at = [], top[-1] if top else -1
+        while at >= 0:
+            chain.append(order[at])
+            at = under[at]
+        return group.take(pa.array(chain[::-1], pa.int64()))
+
+    d = pairs.select(*keys, "k", "pos")
+    return d.groupBy(*keys).applyInArrow(pick, d.schema)
+
+
+def aligned_words(noisy: DataFrame, clean: DataFrame, key: str) -> DataFrame:
+    """``key, k, pos``: which word of a noisy text (``key, para, k, word``) is which of a clean one (``key, pos, word``).
+
+    Words and pairs of neighbours that either text has once only are anchors; their longest rising chain cuts both texts into
+    gaps. In each gap the words that it has once only on either side are anchors again, then the words of one spelling
+    are paired by their number in the gap; each time the longest rising chain counts. A word that has moved stays without partner.
+    """
+    def once(d, keys, at):
+        return d.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias(at)).where("n = 1").drop("n")
+
+    def neighbours(d, at, within):
+        w = Window.partitionBy(key, *within, chunk_of(at)).orderBy(at)  # a pair across two chunks is no anchor
+        two = F.concat_ws(" ", "word", F.lead("word").over(w))
+        return d.select(key, at, two.alias("word"), F.lead("word").over(w).alias("__next")).where("__next IS NOT NULL").drop("__next")
+
+    def gaps(d, at, found):
+        marked = d.join(found.select(key, at, F.lit(1).alias("__hit")), [key, at], "left")
+        return checkpointed(ordered_scan(marked, [key], [at], chunk_of(at), running={"gap": F.coalesce("__hit", F.lit(0))}).where("__hit IS NULL").drop("__hit"))
+
+    left, right = noisy.select(key, "k", "word").unionByName(neighbours(noisy, "k", ["para"])), clean.select(key, "pos", "word").unionByName(neighbours(clean, "pos", []))
+    found = checkpointed(longest_rise(once(left, [key], "k").join(once(right, [key], "pos"), [key, "word"]).select(key, "k", "pos").distinct(), [key]))
+    a, b = gaps(noisy.select(key, "k", "word"), "k", found), gaps(clean.select(key, "pos", "word"), "pos", found)
+    more = checkpointed(longest_rise(once(a, [key, "gap"], "k").join(once(b, [key, "gap"], "pos"), [key, "gap", "word"]), [key]))
+    found = found.unionByName(more)
+    a, b = gaps(noisy.select(key, "k", "word"), "k", found), gaps(clean.select(key, "pos", "word"), "pos", found)
+
+    def numbered(d, at):
+        return d.withColumn("__i", F.row_number().over(Window.partitionBy(key, "gap", "word").orderBy(at)))
+
+    last = longest_rise(numbered(a, "k").join(numbered(b, "pos"), [key, "gap", "word", "__i"]), [key])  # gaps lie in one order in both texts, so a text's chain is that of its gaps
+    return found.unionByName(last)
+
+
+def merge_prose(paras: DataFrame, clean: DataFrame, key: str) -> DataFrame:
+    """Re-cut a clean text by the paragraph bounds of a noisy one: ``key, para, text, merged``.
 
-    Words, and pairs of neighbouring words, that either text of a document has once only are anchors. Read in the order of the
-    noisy text, an anchor counts if no earlier one lies behind it in the clean text. A paragraph starts at its first such place
-    and ends where the next one starts, without the marks at its ends; without an anchor it has no text. Both orders run as
-    chunked scans, so a long document is spread over tasks.
+    ``paras``: key, para (in order from 0), text; ``clean``: key, text. A paragraph starts at the place in the clean text of its first word
+    with a partner (``aligned_words``) and ends where the next one starts; a paragraph without partners keeps its own text.
+    Both orders run as chunked scans, so a long document is spread over tasks.
     """
-    word, marks = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
-
-    def keyed(ws: Column) -> Column:
-        after = F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda x, y: F.struct(x["at"].alias("at"), F.concat(x["word"], F.lit(" "), y["word"]).alias("word")))
-        return F.explode(F.concat(ws, F.filter(after, lambda x: x["word"].isNotNull())))
-
-    heard = F.transform(F.regexp_extract_all(F.lower("__p"), F.lit(word), 0), lambda x, i: F.struct(i.alias("at"), x.alias("word")))
-    noisy = df.select(key, F.posexplode("paras").alias("para", "__p")).select(key, "para", heard.alias("ws")).select(key, "para", keyed(F.col("ws")).alias("w")).select(key, "para", F.col("w.at").alias("k"), "w.word")
-    chunks = df.select(key, F.split(F.trim(F.regexp_replace("clean", r"\s+", " ")), " ").alias("c"))
-    said = F.filter(F.transform("c", lambda x, i: F.struct(i.alias("at"), F.lower(F.regexp_replace(x, marks, "")).alias("word"))), lambda x: x["word"] != "")
-    clean = chunks.select(key, said.alias("ws")).select(key, keyed(F.col("ws")).alias("w")).select(key, F.col("w.at").alias("pos"), "w.word")
-    once = lambda d, *at: d.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in at)).where("n = 1").drop("n")
-    anchors = once(noisy, "para", "k").join(once(clean, "pos"), [key, "word"]).select(key, "para", "k", "pos").distinct()
-    upward = ordered_scan(anchors, [key], ["para", "k"], chunk_of("para"), running_max={"top": F.col("pos")}).where("pos = top")
-    starts = upward.groupBy(key, "para").agg(F.min("pos").alias("pos"))
-    places = chunks.select(key, F.posexplode("c").alias("pos", "chunk")).where("chunk <> ''")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    cut = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    heard = paras.select(key, "para", F.posexplode(cut(F.col("text"))).alias("i", "chunk"))
+    heard = ordered_scan(heard, [key], ["para", "i"], chunk_of("para"), row_number="k").select(key, "para", "k", plain(F.col("chunk")).alias("word")).where("word <> ''")
+    places = clean.select(key, F.posexplode(cut(F.col("text"))).alias("pos", "chunk")).where("chunk <> ''").withColumn("pos", F.col("pos").cast("bigint"))
+    heard, said = checkpointed(heard), checkpointed(places.select(key, "pos", plain(F.col("chunk")).alias("word")).where("word <> ''"))
+    met = aligned_words(heard, said, key)
+    starts = met.join(heard.select(key, "k", "para"), [key, "k"]).groupBy(key, "para").agg(F.min("pos").alias("pos"))
     owned = ordered_scan(places.join(starts, [key, "pos"], "left"), [key], ["pos"], chunk_of("pos"), last={"owner": F.col("para")}).where("owner IS NOT NULL")
-    cut = F.regexp_replace(F.regexp_replace("text", f"^{marks}", ""), f"{marks}$", "")
-    return ordered_text(owned, [key, "owner"], ["pos"], "chunk").select(key, F.col("owner").alias("para"), cut.alias("text"))
+    spans = ordered_text(owned, [key, "owner"], ["pos"], "chunk", alias="span").withColumnRenamed("owner", "para")
+    out = paras.join(spans, [key, "para"], "left")
+    return out.select(key, "para", F.coalesce("span", "text").alias("text"), F.col("span").isNotNull().alias("merged"))

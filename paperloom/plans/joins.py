@@ -8,7 +8,7 @@ from paperloom.functions import extract as X
 from paperloom.functions import latex as L
 from paperloom.functions import similarity as S
 from paperloom.operators import joins as J
-from paperloom.operators.scan import chunk_of
+from paperloom.operators.scan import chunk_of, ordered_scan
 from paperloom.plans import duck
 from paperloom.plans.base import TYPED, typed_lines
 from paperloom.plans.registry import ORACLES, query
@@ -57,12 +57,21 @@ def names(t):
     return n.selectExpr("p_partkey AS lid", "substr(s, 1, length(s) - 1) AS ltext"), n.selectExpr("p_partkey AS rid", "s AS rtext")
 
 
-@query("jn_author_match", f"""WITH {PAIRS_D} q AS (SELECT * FROM p WHERE d <= floor(m * 0.2 + 1e-9)),
-best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY ltext ORDER BY d, length(rtext) DESC, rtext) = 1)
-SELECT lid, ltext, rtext AS match, d AS distance FROM a LEFT JOIN best USING (ltext)""")
+# Length of the longest common subsequence by one row of the table for each character of r: a running maximum over l.
+LCS_D = """rows_of AS (SELECT l, r, 0 AS i, list_transform(range(length(l)), lambda x: 0) AS v FROM near
+  UNION ALL SELECT l, r, i + 1, list_transform(range(1, len(v) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: greatest(v[x], (CASE WHEN x > 1 THEN v[x - 1] ELSE 0 END) + CAST(l[x] = r[i + 1] AS INT))))) FROM rows_of WHERE i < length(r)),
+scored AS (SELECT l, r, 200.0 * v[length(l)] / (length(l) + length(r)) AS score FROM rows_of WHERE i = length(r))"""
+TOKENS = "array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+@query("jn_author_match", f"""WITH RECURSIVE n AS (SELECT p_partkey, p_name || ' ' || p_type AS s FROM part), a AS (SELECT p_partkey AS lid, s[1:length(s) - 1] AS ltext FROM n),
+la AS (SELECT DISTINCT {TOKENS.format(c="ltext")} AS l FROM a), rb AS (SELECT {TOKENS.format(c="s")} AS r, min(s) AS match FROM n GROUP BY 1),
+near AS (SELECT l, r FROM la, rb WHERE abs(length(l) - length(r)) <= 0.2 * (length(l) + length(r))), {LCS_D},
+best AS (SELECT l, match, score FROM scored JOIN rb USING (r) WHERE score >= 80 - 1e-9 QUALIFY row_number() OVER (PARTITION BY l ORDER BY round(score, 9) DESC, match) = 1)
+SELECT lid, ltext, match, round(score, 4) AS score FROM a LEFT JOIN best ON best.l = {TOKENS.format(c="ltext")}""")
 def jn_author_match(t):
     left, right = names(t)
-    return J.best_edit(left, right, 0.8).select("lid", "ltext", "match", F.col("distance").cast("bigint").alias("distance"))
+    return J.best_token_sort(left, right, 80).withColumn("score", F.round("score", 4))
 
 
 SORTED = "array_to_string(list_sort(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')), ' ')"
@@ -77,16 +86,13 @@ def jn_author_match_tokens(t):
     return J.best_token_edit(left, names(t)[1], 0.8).withColumn("distance", F.col("distance").cast("bigint"))
 
 
-FUZZY_D = """WITH u AS (SELECT DISTINCT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), ' ') AS s FROM part),
-p AS (SELECT x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS d, greatest(length(x.s), length(y.s)) AS m FROM u x, u y WHERE x.s < y.s)
-SELECT a, b, round(1.0 - d / CAST(m AS DOUBLE), 4) AS weight FROM p WHERE d <= floor(m * 0.25 + 1e-9)"""
-
-
-@query("jn_fuzzy", FUZZY_D)
+@query("jn_fuzzy", f"""WITH RECURSIVE u AS (SELECT DISTINCT {TOKENS.format(c="p_name || ' ' || p_type")} AS s FROM part),
+near AS (SELECT x.s AS l, y.s AS r FROM u x, u y WHERE x.s < y.s AND abs(length(x.s) - length(y.s)) <= 0.15 * (length(x.s) + length(y.s))), {LCS_D}
+SELECT l AS a, r AS b, round(score / 100, 4) AS weight FROM scored WHERE score >= 85 - 1e-9""")
 def jn_fuzzy(t):
-    n = t.part.select("p_partkey", S.sorted_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
-    p = J.edit_pairs(n.selectExpr("p_partkey AS lid", "s AS ltext"), n.selectExpr("p_partkey AS rid", "s AS rtext"), 0.75)
-    return p.where("ltext < rtext").select(F.col("ltext").alias("a"), F.col("rtext").alias("b"), F.round("score", 4).alias("weight"))
+    n = t.part.select(S.token_sorted(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
+    p = J.indel_pairs(n.selectExpr("s AS ltext"), n.selectExpr("s AS rtext"), 85)
+    return p.where("ltext < rtext").select(F.col("ltext").alias("a"), F.col("rtext").alias("b"), F.round(F.col("score") / 100, 4).alias("weight"))
 
 
 @query("jn_link_xref", """WITH l AS (SELECT page_id, url, split_part(split_part(url, '/', 5), '?', 1) AS key, page_id % 7 AS dest FROM pages),
@@ -119,16 +125,24 @@ def jn_eq_number(t):
     return n.where("distance <= 36000").select("user_id", "event_id", "number_id", F.round("distance", 3).alias("distance"))
 
 
-@query("jn_geometry", f"""WITH e AS (SELECT user_id, event_id AS id, event_type, {SEC} AS y, props AS text FROM events),
-p AS (SELECT a.user_id, a.id, b.id AS r_id, abs(a.y - b.y) AS d, b.y AS yy, 1.0 - levenshtein(a.text, b.text) / CAST(greatest(length(a.text), length(b.text)) AS DOUBLE) AS sim
-  FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'view'),
+# A second reading of every event: later by half an hour, its key written out.
+READING = "replace(props, '\"k\"', 'key')"
+
+
+@query("jn_geometry", f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, {SEC} AS y, props AS text, {READING} AS other FROM events),
+t AS (SELECT DISTINCT text FROM e), o AS (SELECT DISTINCT other FROM e),
+nodes AS (SELECT text, other, text AS a, other AS b, 0 AS n FROM t, o
+  UNION ALL (SELECT text, other, unnest([a[:f.i - 1], a[f.i + f.n:]]) AS a, unnest([b[:f.j - 1], b[f.j + f.n:]]) AS b, unnest([f.n, 0]) AS n FROM (SELECT text, other, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i:
+    list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: {{'n': n, 'ni': -i, 'nj': -instr(b, substr(a, i, n)), 'i': i, 'j': instr(b, substr(a, i, n))}})))) AS f FROM nodes WHERE a <> '' AND b <> '') WHERE f IS NOT NULL)),
+ratio AS (SELECT text, other, 2.0 * sum(n) / (length(text) + length(other)) AS sim FROM nodes GROUP BY text, other),
+p AS (SELECT a.user_id, a.id, b.id AS r_id, abs(a.y - (b.y + 1800)) AS d, b.y AS yy, sim FROM e a JOIN e b ON a.user_id = b.user_id JOIN ratio ON ratio.text = a.text AND ratio.other = b.other),
 i AS (SELECT *, false AS fallback FROM p WHERE d <= 20000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, d, r_id) = 1),
-o AS (SELECT *, true AS fallback FROM p WHERE id NOT IN (SELECT id FROM i) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, yy, r_id) = 1)
-SELECT user_id, id, r_id, round(sim, 6) AS sim, fallback FROM (SELECT * FROM i UNION ALL SELECT * FROM o)""")
+o2 AS (SELECT *, true AS fallback FROM p WHERE id NOT IN (SELECT id FROM i) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, yy, r_id) = 1)
+SELECT user_id, id, r_id, round(sim, 6) AS sim, fallback FROM (SELECT * FROM i UNION ALL SELECT * FROM o2)""")
 def jn_geometry(t):
-    e = seconds(t.events).selectExpr("user_id", "event_id AS id", "event_type", "y", "props AS text")
-    a, b = e.where("event_type = 'error'").drop("event_type"), e.where("event_type = 'view'").drop("event_type")
-    m = J.geometry_match(a, b, ["user_id"], "y", 20000.0, L.edit_similarity, 86400.0)
+    e = seconds(t.events).selectExpr("user_id", "event_id AS id", "y", "props AS text")
+    other = seconds(t.events).selectExpr("user_id", "event_id AS id", "y + 1800 AS y", f"{READING} AS text")
+    m = J.geometry_match(e, other, ["user_id"], "y", 20000.0, S.matching_ratio, 86400.0)
     return m.select("user_id", "id", "r_id", F.round("sim", 6).alias("sim"), "fallback")
 
 
@@ -491,21 +505,20 @@ def jn_measure_bind(t):
     return m.select(F.col("sent_id").alias("p_partkey"), "concept", "measure", "amount", F.col("conditions")["precision"].alias("condition"))
 
 
+# The noisy text misreads one run of letters in every word that holds it, with a letter that no text has.
+MISREAD = "replace(lower(text), 'the', 'tħe')"
+
+
 @query("jn_merge_prose", f"""WITH {duck.LINES},
-para AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS para, lower(text) AS p FROM doc_line WHERE trim(text) <> ''),
-noisyw AS (SELECT doc_id, para, i AS k, w[i] AS word FROM (SELECT doc_id, para, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, para, regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+') AS w FROM para))),
-noisy AS (SELECT doc_id, para, k, word FROM noisyw UNION ALL SELECT doc_id, para, k, word || ' ' || nxt FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id, para ORDER BY k) AS nxt FROM noisyw) WHERE nxt IS NOT NULL),
-clean AS (SELECT doc_id, i AS pos, c[i] AS chunk, lower(regexp_replace(c[i], '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS word
-  FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS c FROM documents)) WHERE c[i] <> ''),
-cleanw AS (SELECT * FROM clean WHERE word <> ''),
-keys AS (SELECT doc_id, pos, word FROM cleanw UNION ALL SELECT doc_id, pos, word || ' ' || nxt FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM cleanw) WHERE nxt IS NOT NULL),
-a AS (SELECT doc_id, word, min(para) AS para, min(k) AS k FROM noisy GROUP BY ALL HAVING count(*) = 1),
-b AS (SELECT doc_id, word, min(pos) AS pos FROM keys GROUP BY ALL HAVING count(*) = 1),
-up AS (SELECT doc_id, para, pos, max(pos) OVER (PARTITION BY doc_id ORDER BY para, k) AS top FROM (SELECT DISTINCT doc_id, para, k, pos FROM a JOIN b USING (doc_id, word))),
-s AS (SELECT doc_id, para, min(pos) AS pos FROM up WHERE pos = top GROUP BY ALL),
-o AS (SELECT clean.doc_id, clean.pos, chunk, last_value(para IGNORE NULLS) OVER (PARTITION BY clean.doc_id ORDER BY clean.pos) AS para FROM clean LEFT JOIN s ON clean.doc_id = s.doc_id AND clean.pos = s.pos)
-SELECT doc_id, para, regexp_replace(regexp_replace(string_agg(chunk, ' ' ORDER BY pos), '^[^\\p{{L}}\\p{{N}}_]+', ''), '[^\\p{{L}}\\p{{N}}_]+$', '') AS text FROM o WHERE para IS NOT NULL GROUP BY ALL""")
+para AS (SELECT doc_id, pos AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS para, text FROM doc_line WHERE trim(text) <> ''),
+chunk AS (SELECT doc_id, line, para, i, c[i] AS chunk, regexp_replace(lower(c[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS word
+  FROM (SELECT doc_id, line, para, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, line, para, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS c FROM para)) WHERE c[i] <> ''),
+begin_ AS (SELECT doc_id, para, min(i) AS i FROM chunk WHERE word <> '' AND NOT contains(lower(chunk), 'the') GROUP BY ALL),
+o AS (SELECT doc_id, line, i, chunk, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line, i) AS para FROM (SELECT chunk.*, CASE WHEN begin_.i IS NOT NULL THEN para END AS own FROM chunk LEFT JOIN begin_ USING (doc_id, para, i))),
+s AS (SELECT doc_id, para, string_agg(chunk, ' ' ORDER BY line, i) AS span FROM o WHERE para IS NOT NULL GROUP BY ALL)
+SELECT doc_id, para, coalesce(span, {MISREAD}) AS text, span IS NOT NULL AS merged FROM para LEFT JOIN s USING (doc_id, para)""")
 def jn_merge_prose(t):
-    lines = text_lines(t.documents, "doc_id").where("trim(text) <> ''")
-    paras = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.lower(x["text"])).alias("paras"))
-    return J.merge_prose(paras.join(t.documents.select("doc_id", F.col("text").alias("clean")), "doc_id"), "doc_id")
+    """The SQL knows the places and holds the alignment to them: what is not misread must be found where it stands."""
+    lines = ordered_scan(text_lines(t.documents, "doc_id").where("trim(text) <> ''"), ["doc_id"], ["pos"], chunk_of("pos"), row_number="para")
+    noisy = lines.selectExpr("doc_id", "para - 1 AS para", f"{MISREAD} AS text")
+    return J.merge_prose(noisy, t.documents.select("doc_id", "text"), "doc_id")
