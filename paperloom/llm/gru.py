@@ -11,6 +11,7 @@ from paperloom.llm.words import spread
 
 F32 = np.float32
 NAMES = ("wx", "wh", "wc", "bc", "wo", "bo")
+COLUMNS = 512  # texts that a window of the training holds side by side
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -141,33 +142,44 @@ def initial(log_share: np.ndarray, members: int, hidden: int, seed: int = 3) ->
 
 
 class Streams:
-    """Texts laid into at most ``most`` columns, one after the other in each, the columns about equally long and sorted by length."""
+    """Texts laid into at most ``most`` columns, one after the other in each, the columns about equally long, the longest first.
+
+    Symbols stand column by column in one flat array with a start for each column, so memory follows the symbols: a long
+    text beside many short ones makes one long column, not a long table.
+    """
 
     def __init__(self, lengths: np.ndarray, most: int):
         k = max(1, min(most, len(lengths)))
         heap = [(0, s) for s in range(k)]
-        base, col = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        col = np.zeros(len(lengths), np.int64)
         for d in np.argsort(-lengths, kind="stable").tolist():
             load, s = heapq.heappop(heap)
-            base[d], col[d] = load, s
+            col[d] = s
             heapq.heappush(heap, (load + int(lengths[d]), s))
         loads = np.array([n for n, _ in sorted(heap, key=lambda x: x[1])])
         order = np.argsort(-loads, kind="stable")
         place = np.empty(k, np.int64)
         place[order] = np.arange(k)
-        self.loads, self.rows, self.cols = loads[order], spread(base, lengths), np.repeat(place[col], lengths)
-        self.starts = (base, place[col])
-
-    def fill(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, targets and where a text begins, as (steps, columns)."""
-        y = np.zeros((int(self.loads[0]), len(self.loads)), np.int64)
-        y[self.rows, self.cols] = values
-        fresh = np.zeros(y.shape, bool)
-        fresh[self.starts] = True
-        x = np.zeros_like(y)
-        x[1:] = y[:-1]
-        x[fresh] = 0
-        return x, y, fresh
+        self.loads = loads[order]
+        self.starts = np.cumsum(self.loads) - self.loads
+        texts = np.lexsort((-lengths, place[col]))  # by column, the longest text first
+        first = np.cumsum(lengths) - lengths
+        self.places = spread(first[texts], lengths[texts])  # where each flat symbol stands in the texts
+        ends = np.cumsum(lengths[texts])
+        self.heads = ends - lengths[texts]
+
+    def fill(self, symbols: np.ndarray) -> None:
+        """Targets, inputs and where a text begins, flat."""
+        self.y = symbols[self.places].astype(np.int32)
+        self.fresh = np.zeros(len(self.y), bool)
+        self.fresh[self.heads[self.heads < len(self.y)]] = True
+        self.x = np.zeros_like(self.y)
+        self.x[1:] = self.y[:-1]
+        self.x[self.fresh] = 0
+
+    def live(self, t: int) -> int:
+        """How many columns are longer than ``t``: the first ones."""
+        return int(np.searchsorted(-self.loads, -t, side="left"))
 
 
 def score(net: Gru, symbols: np.ndarray, lengths: np.ndarray, most: int = 512, steps: int = 32) -> np.ndarray:
@@ -175,19 +187,19 @@ def score(net: Gru, symbols: np.ndarray, lengths: np.ndarray, most: int = 512, s
     if not len(symbols):
         return np.zeros(0)
     lay = Streams(lengths, most)
-    x, y, fresh = lay.fill(symbols)
-    h, out = np.zeros((x.shape[1], net.wh.shape[0]), F32), np.zeros(x.shape)
-    for a in range(0, len(x), steps):
+    lay.fill(symbols)
+    h, out = np.zeros((len(lay.loads), net.wh.shape[0]), F32), np.zeros(len(symbols))
+    for a in range(0, int(lay.loads[0]), steps):
         states, where = [], []
-        for t in range(a, min(a + steps, len(x))):
-            k = int(np.searchsorted(-lay.loads, -t, side="left"))  # columns longer than t
-            h = h[:k] * ~fresh[t, :k][:, None]
-            h = net.step(x[t, :k], h)[0]
+        for t in range(a, min(a + steps, int(lay.loads[0]))):
+            k = lay.live(t)
+            at = lay.starts[:k] + t
+            h = net.step(lay.x[at], h[:k] * ~lay.fresh[at][:, None])[0]
             states.append(h)
-            where.append((np.full(k, t), np.arange(k)))
-        rows, cols = (np.concatenate(w) for w in zip(*where))
-        out[rows, cols] = net.logs(np.concatenate(states), y[rows, cols])
-    return out[lay.rows, lay.cols]
+            where.append(at)
+        at = np.concatenate(where)
+        out[lay.places[at]] = net.logs(np.concatenate(states), lay.y[at])
+    return out
 
 
 class Adam:
@@ -196,10 +208,11 @@ class Adam:
         self.m = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
         self.v = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
 
-    def apply(self, g: dict) -> None:
+    def apply(self, g: dict, share: float = 1.0) -> None:
+        """One step; ``share`` of its size, where the gradient comes from so much of a full window."""
         self.n += 1
         size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-        cut, rate, full = F32(min(1.0, 1.0 / max(size, 1e-9))), F32(self.rate / (1 - 0.9**self.n)), F32((1 - 0.99**self.n) ** -0.5)
+        cut, rate, full = F32(min(1.0, 1.0 / max(size, 1e-9))), F32(share * self.rate / (1 - 0.9**self.n)), F32((1 - 0.99**self.n) ** -0.5)
         for k, x in g.items():
             x *= cut
             m, v = self.m[k], self.v[k]
@@ -217,15 +230,23 @@ class Adam:
             getattr(self.net, k)[...] -= x
 
 
-def train(net: Gru, adam: Adam, symbols: np.ndarray, lengths: np.ndarray, most: int = 128, steps: int = 16) -> None:
-    """One pass over the texts: windows of ``steps`` symbols, the state carried from window to window, gradients cut there."""
+def train(net: Gru, adam: Adam, symbols: np.ndarray, lengths: np.ndarray, most: int = COLUMNS, steps: int = 16) -> None:
+    """One pass over the texts: windows of ``steps`` symbols, the state carried from window to window, gradients cut there.
+
+    A step counts by the share of a window with all columns that it saw, so the thin windows at the end of the longest columns
+    move the network by as little as they hold.
+    """
     if not len(symbols):
         return
     lay = Streams(lengths, most)
-    x, y, fresh = lay.fill(symbols)
-    live = np.arange(len(x))[:, None] < lay.loads
-    h = np.zeros((x.shape[1], net.wh.shape[0]), F32)
-    for a in range(0, len(x), steps):
-        g, h = net.window(x[a : a + steps], y[a : a + steps], fresh[a : a + steps], live[a : a + steps], h)
+    lay.fill(symbols)
+    h = np.zeros((len(lay.loads), net.wh.shape[0]), F32)
+    for a in range(0, int(lay.loads[0]), steps):
+        k = lay.live(a)
+        t = np.arange(a, min(a + steps, int(lay.loads[0])))[:, None]
+        live = t < lay.loads[:k]
+        at = np.where(live, lay.starts[:k] + t, 0)
+        x, y, fresh = (np.where(live, v[at], 0) for v in (lay.x, lay.y, lay.fresh))
+        g, h = net.window(x.astype(np.int64), y.astype(np.int64), fresh.astype(bool), live, h[:k])
         if g:
-            adam.apply(g)
+            adam.apply(g, float(live.sum()) / (len(lay.loads) * steps))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,19 @@ END = "\n"  # the end token, which no word can be
 BLOCK = 1 << 14  # weights in a row when networks are averaged
 
 
+LONG = 64  # bytes; longer words travel and are looked up by a 128-bit digest, so that a table of words has a size
+
+
+def short_key(word: Column) -> Column:
+    """The word, or for a long one a digest that no word can be."""
+    return F.when(F.octet_length(word) <= LONG, word).otherwise(F.concat(F.lit(END), F.md5(word.cast("binary"))))
+
+
+def short_keys(words: list[str]) -> list[str]:
+    """The same in a task."""
+    return [w if len(w) <= LONG // 4 or len(b := w.encode()) <= LONG else END + hashlib.md5(b).hexdigest() for w in words]
+
+
 def lowered(part: pa.RecordBatch) -> pa.Array:
     return pc.ascii_lower(texts(part))
 
@@ -111,7 +125,7 @@ class Model:
 
     def symbols(self, words: list[str]) -> np.ndarray:
         get, unknown = self.symbol.get, self.unknown
-        return np.array([s if (s := get(w)) is not None else unknown[w.encode("utf-8", "replace")[0]] for w in words], dtype=np.int64)
+        return np.array([s if (s := get(k)) is not None else unknown[w.encode("utf-8", "replace")[0]] for w, k in zip(words, short_keys(words))], dtype=np.int64)
 
 
 def with_ends(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +138,7 @@ def with_ends(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndar
     return out, lengths
 
 
-def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 48, common: int = 300_000, steps: int = 16, rate: float = 0.01, rounds: int = 1) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 48, common: int = 300_000, steps: int = 16, rate: float = 0.03, rounds: int = 1) -> tuple[Model, DataFrame]:
     """The model of the texts in ``docs`` (column ``text``) and the counts ``word, n`` of all their tokens.
 
     Symbols: the end, the most frequent words, and for other words one symbol for each first byte; a word behind such a symbol
@@ -137,17 +151,16 @@ def train(docs: DataFrame, hidden: int = 16, classes: int = 48, members: int = 4
     listed = classes * members - 257
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = int(total.n or 0), int(total.v)
-    short = counts.where((F.octet_length("word") <= 64) & (F.col("word") != END))
-    top = short.orderBy(F.desc("n"), "word").limit(common).toArrow()
+    first = F.conv(F.substring(F.hex(F.substring("word", 1, 1).cast("binary")), 1, 2), 16, 10).cast("int")
+    top = counts.where(F.col("word") != END).select(short_key(F.col("word")).alias("word"), first.alias("byte"), "n").orderBy(F.desc("n"), "word").limit(common).toArrow()
     names, n = top["word"].combine_chunks(), top["n"].to_numpy().astype(np.int64)
     inner = names.to_pylist()[:listed]
-    first = F.conv(F.substring(F.hex(F.col("word").cast("binary")), 1, 2), 16, 10).cast("int")
     firsts = counts.where(F.col("word") != END).groupBy(first.alias("byte")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).toArrow().to_pandas()
     per_byte, once = np.zeros(256), 0
     per_byte[firsts["byte"].to_numpy(dtype=np.int64)] = firsts["n"].to_numpy(dtype=np.float64)
     once = float(firsts["once"].sum())
-    for w, k in zip(inner, n):
-        per_byte[w.encode()[0]] -= k
+    for b, k in zip(top["byte"].to_pylist()[: len(inner)], n):
+        per_byte[b] -= k
     # symbols by frequency: the end is symbol 0, the rest falls into classes in order
     ends = max(tokens - int(firsts["n"].sum()), 0) if len(firsts) else tokens
     weight = np.concatenate((n[: len(inner)], per_byte)).astype(np.float64)
@@ -199,9 +212,9 @@ def averaged(docs: DataFrame, model: Model, steps: int, rate: float) -> gru.Gru:
 def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
-    Tasks score what they know: the network on whole texts, common words by the counts that travel with the model. Other
-    words leave as rows and meet the table of all counts in a join; their frequency is small by construction, so no key is
-    hot. A null text is its end alone.
+    Tasks score what they know: the network on whole texts, common words by the counts that travel with the model. Words
+    that are not among the most frequent ones leave as rows and meet the table of all counts in a join; a text without
+    such words has a key of its own there, so no key is hot. A null text is its end alone.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("__row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("net", pa.float64()),
                         ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("spell", pa.float64()), ("scale", pa.float64())])))])
@@ -217,12 +230,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
         for part in slices(batches, rows=8192, size=8 << 20):
             codes, offsets, words = split_words(lowered(part))
             names = words.to_pylist()
+            keys = short_keys(names)
             sym = model.symbols(names)
             flat, lengths = with_ends(sym[codes], offsets, 0)
             logs = gru.score(model.net, flat, lengths) / np.log(10)
             net = per_text(logs, np.concatenate(([0], np.cumsum(lengths))))
-            c = np.array([table.get(w, -1) for w in names], dtype=np.int64)
-            inner = np.array([w in model.symbol for w in names], dtype=bool)
+            c = np.array([table.get(w, -1) for w in keys], dtype=np.int64)
+            inner = np.array([w in model.symbol for w in keys], dtype=bool)
             base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0) - floor, 0.0)
             spell, scale = np.zeros(len(names)), np.zeros(len(names))
             some = np.flatnonzero(~inner)
@@ -240,18 +254,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
             pair, n = np.unique(owner * max(len(names), 1) + codes[at], return_counts=True)
             who, what = pair // max(len(names), 1), pair % max(len(names), 1)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(lengths) + 1)), pa.int32()),
-                                             pa.StructArray.from_arrays([words.take(pa.array(what)), pa.array(n.astype(np.int64)), pa.array(spell[what]), pa.array(scale[what])], fields=list(schema.field("rare").type.value_type)))
+                                             pa.StructArray.from_arrays([pa.array(keys, pa.string()).take(pa.array(what)), pa.array(n.astype(np.int64)), pa.array(spell[what]), pa.array(scale[what])], fields=list(schema.field("rare").type.value_type)))
             yield batch_of(schema, part.column(0), part.column(2), lengths, known.astype(np.int64) + (1 if end_count > 0 else 0), per_text(base[codes], offsets) + end_base, net + per_text(extra[codes], offsets), lists)
 
     rows = with_row_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, sql)
-    each = rows.select("doc_id", "__row", "n_tokens", "known", "base", "net", F.explode_outer("rare").alias("r")).select("*", "r.word", F.col("r.n").alias("times"), "r.spell", "r.scale").drop("r")
-    met = each.join(counts.withColumnRenamed("n", "c"), "word", "left")
+    each = rows.select("doc_id", "__row", "n_tokens", "known", "base", "net", F.explode_outer("rare").alias("r")).select("*", F.coalesce("r.word", F.concat(F.lit(END), F.col("__row"))).alias("word"), F.col("r.n").alias("times"), "r.spell", "r.scale").drop("r")
+    met = each.join(counts.select(short_key(F.col("word")).alias("word"), F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
     by_count = F.when(c > 0, F.log10(F.col("scale") * c + (1 - share) * F.pow(F.lit(10.0), "spell"))).otherwise(F.lit(rest) + F.col("spell"))
     out = met.groupBy("__row").agg(*(F.first(x).alias(x) for x in ("doc_id", "n_tokens", "known", "base", "net")),
-                                   F.sum(F.when(F.col("word").isNotNull() & (c > 0), F.col("times")).otherwise(0)).alias("more"),
-                                   F.sum(F.when(F.col("word").isNotNull(), F.col("times") * (F.log10(c + 1.0) - floor)).otherwise(0.0)).alias("base2"),
-                                   F.sum(F.when(F.col("word").isNotNull(), F.col("times") * by_count).otherwise(0.0)).alias("net2"))
+                                   F.sum(F.when(F.col("times").isNotNull() & (c > 0), F.col("times")).otherwise(0)).alias("more"),
+                                   F.sum(F.when(F.col("times").isNotNull(), F.col("times") * (F.log10(c + 1.0) - floor)).otherwise(0.0)).alias("base2"),
+                                   F.sum(F.when(F.col("times").isNotNull(), F.col("times") * by_count).otherwise(0.0)).alias("net2"))
     return out.select(F.col("doc_id").alias(key), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("base2")).alias("base_score"), (F.col("net") + F.col("net2")).alias("score"))
 
 

@@ -4,10 +4,12 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from public_tokenizers import path
@@ -289,6 +291,50 @@ def test_network_trains_on_every_window(spark):
     assert np.allclose(got, plain.packed(), atol=1e-4)
 
 
+def test_scores_equal_a_plain_loop(spark):
+    """Every text by itself, symbol by symbol: log probabilities of the network, then spelling and counts of unlisted words."""
+    from paperloom.llm import gru
+
+    r = random.Random(7)
+    line = "-" * 300  # a long word that most texts hold
+    texts = [" ".join(r.choices(["river", "stone", "cloud", "é", line, *[f"rare{i}" for i in range(200)]], [9, 7, 5, 3, 4, *[0.1] * 200], k=r.randint(0, 40))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = language_model.train(docs.select("text"), classes=18, members=18, common=20, rounds=1)
+    assert language_model.short_keys([line])[0] in model.common.to_pylist()
+    got = {x.doc_id: x.score for x in language_model.score(docs, model, counts).collect()}
+    n = collections.Counter(w for t in texts for w in (t or "").split())
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        h, last, total = np.zeros((1, model.net.wh.shape[0]), np.float32), 0, 0.0
+        for w in [*words, None]:
+            s = 0 if w is None else int(model.symbols([w])[0])
+            h = model.net.step(np.array([last]), h)[0]
+            total += float(model.net.logs(h, np.array([s]))[0]) / math.log(10)
+            last = s
+            if w is not None and language_model.short_keys([w])[0] not in model.symbol:
+                spelled = 10.0 ** float(model.spell(pa.array([w]))[0])
+                total += math.log10(model.scale[w.encode()[0]] * n[w] + (1 - model.listed_share) * spelled)
+        assert abs(total - got[k]) < 1e-3 * max(1, len(words)), k
+    assert isinstance(model.net, gru.Gru)
+
+
+def test_a_long_text_beside_short_ones_takes_memory_by_symbols():
+    """Peak of the arrays that the layout and the scoring allocate, where a dense table would take 512 columns of the long text."""
+    import tracemalloc
+
+    from paperloom.llm import gru
+
+    net = gru.initial(np.log(np.full(64, 1 / 64)), 8, 4)
+    lengths = np.array([60_000] + [20] * 511)
+    symbols = np.random.default_rng(1).integers(0, 64, lengths.sum())
+    tracemalloc.start()
+    got = gru.score(net, symbols, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(symbols) * 8 and np.isfinite(got).all()
+    assert np.allclose(got[60_000:60_020], gru.score(net, symbols[60_000:60_020], np.array([20])), atol=1e-4)
+
+
 def test_probabilities_sum_to_one():
     from paperloom.llm import gru
 
