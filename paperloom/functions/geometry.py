@@ -47,34 +47,37 @@ def page_fraction(region: tuple, page_w: Column, page_h: Column) -> tuple:
 
 
 def bucket_join(left: DataFrame, right: DataFrame, page: list[str], step: float, on: Column | None = None,
-                left_box: str = "", right_box: str = "r_", how_many: int = 4096) -> DataFrame:
+                left_box: str = "", right_box: str = "r_") -> DataFrame:
     """Pairs of boxes that share at least one point on a page.
 
-    Each box is listed under every cell of a grid that it touches, so a page with a million boxes is spread over its
-    cells; a pair is kept only in the cell of its upper-left common corner, so it appears once. Boxes larger than
-    ``how_many`` cells are listed per page instead and meet the others in a second join.
+    Grids of cells ``step``, ``2 step``, ``4 step``, ... lie over a page. A box is at home on the first level whose cells are no smaller
+    than its longer side, so it touches four of them at most, and it looks into the levels above at which the other side has
+    boxes on its page. A pair meets on the level of its larger box, in the cell of its upper-left common corner; boxes that
+    only look never meet each other. So one page-sized box meets a million small ones in a single cell of its own level,
+    and the small ones meet in theirs.
     """
-    def cells(df, p):
-        gx0, gx1 = F.floor(F.col(f"{p}x0") / step), F.floor(F.col(f"{p}x1") / step)
-        gy0, gy1 = F.floor(F.col(f"{p}y0") / step), F.floor(F.col(f"{p}y1") / step)
-        return df.withColumn("__n", (gx1 - gx0 + 1) * (gy1 - gy0 + 1)), gx0, gx1, gy0, gy1
-
-    def listed(df, p, x, y):
-        d, gx0, gx1, gy0, gy1 = cells(df, p)
-        d = d.where(F.col("__n") <= how_many)
-        return d.withColumn(x, F.explode(F.sequence(gx0, gx1))).withColumn(y, F.explode(F.sequence(gy0, gy1))).drop("__n")
+    def level(p):
+        longer = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
+        return F.when(longer > step, F.ceil(F.log2(longer / step))).otherwise(0).cast("int")
+
+    def levels(df, p):
+        return df.groupBy(*page).agg(F.collect_set(level(p)).alias("__levels"))  # as many as sizes have powers of two
+
+    def listed(df, p, other, meets):
+        """A row for each level, cell and kind of meeting; ``meets`` names the kinds for boxes at home and for those that look."""
+        own = level(p)
+        d = df.join(other, page).withColumn("__lv", F.explode(F.array_union(F.array(own), F.filter("__levels", lambda x: x > own))))
+        d = d.withColumn("__kind", F.explode(F.when(F.col("__lv") == own, F.array(*map(F.lit, meets[0]))).otherwise(F.array(*map(F.lit, meets[1])))))
+        size = step * F.pow(F.lit(2.0), F.col("__lv"))
+        cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"{p}{c}0") / size), F.floor(F.col(f"{p}{c}1") / size)))
+        return d.withColumn("__gx", cells("x")).withColumn("__gy", cells("y")).drop("__levels")
 
     lb, rb = corners(left_box), corners(right_box)
+    # a left box at home meets every right one ("h"), one that looks meets those at home ("u")
+    a = listed(left, left_box, levels(right, right_box), ("h", "u"))
+    b = listed(right, right_box, levels(left, left_box), (("h", "u"), "h"))
+    size = step * F.pow(F.lit(2.0), F.col("__lv"))
     meets = (lb[0] <= rb[2]) & (rb[0] <= lb[2]) & (lb[1] <= rb[3]) & (rb[1] <= lb[3])
-    a = listed(left, left_box, "__gx", "__gy")
-    b = listed(right, right_box, "__gx", "__gy")
-    first = (F.col("__gx") == F.floor(F.greatest(lb[0], rb[0]) / step)) & (
-        F.col("__gy") == F.floor(F.greatest(lb[1], rb[1]) / step))
+    first = (F.col("__gx") == F.floor(F.greatest(lb[0], rb[0]) / size)) & (F.col("__gy") == F.floor(F.greatest(lb[1], rb[1]) / size))
     cond = meets & first if on is None else meets & first & on
-    small = a.join(b, [*page, "__gx", "__gy"]).where(cond).drop("__gx", "__gy")
-    big_l = cells(left, left_box)[0].where(F.col("__n") > how_many).drop("__n")
-    big_r = cells(right, right_box)[0].where(F.col("__n") > how_many).drop("__n")
-    small_l = cells(left, left_box)[0].where(F.col("__n") <= how_many).drop("__n")
-    cond = meets if on is None else meets & on
-    out = small.unionByName(big_l.join(right, page).where(cond)).unionByName(small_l.join(big_r, page).where(cond))
-    return out
+    return a.join(b, [*page, "__lv", "__kind", "__gx", "__gy"]).where(cond).drop("__lv", "__kind", "__gx", "__gy")

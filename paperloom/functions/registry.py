@@ -7,7 +7,10 @@ import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,18 +67,43 @@ class Fold:
         return F.aggregate(values, self.zero, self.combine, self.finish) if self.finish else F.aggregate(values, self.zero, self.combine)
 
     def by(self, df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-        """Fold of a whole key in three levels: rows of one input split, partial results of 1024 splits, the rest.
-
-        The split number is the same when a task runs again, and no array is longer than a split or 1024 partial results.
+        """Fold of a whole key. Every Arrow batch of a task is folded before anything is shuffled, then the results of a split's
+        batches, of ``FAN_IN`` splits, and the rest: no array is longer than a batch or ``FAN_IN`` partial results, whatever a
+        key holds, and only partial results travel.
         """
-        pid = F.spark_partition_id()
-        d = df.select(*keys, value.alias("__v"), pid.alias("__s")).groupBy(*keys, "__s").agg(F.collect_list("__v").alias("__l"))
-        d = d.select(*keys, F.expr("__s div 1024").alias("__s"), F.aggregate("__l", self.zero, self.combine).alias("__v"))
-        d = d.groupBy(*keys, "__s").agg(F.collect_list("__v").alias("__l")).select(*keys, F.aggregate("__l", self.zero, self.combine).alias("__v"))
+        d = df.select(*keys, value.alias("__v"))
+        fields = [*d.schema.fields[:-1], T.StructField("__split", T.LongType()), T.StructField("__l", T.ArrayType(d.schema["__v"].dataType))]
+        d = d.mapInArrow(_batches_by_key, T.StructType(fields)).select(*keys, "__split", F.aggregate("__l", self.zero, self.combine).alias("__v"))
+        for split in (F.col("__split"), F.floor(F.col("__split") / FAN_IN)):
+            d = d.groupBy(*keys, split.alias("__split")).agg(F.collect_list("__v").alias("__l")).select(*keys, "__split", F.aggregate("__l", self.zero, self.combine).alias("__v"))
         last = F.aggregate(F.collect_list("__v"), self.zero, self.combine)
         return d.groupBy(*keys).agg((self.finish(last) if self.finish else last).alias("value"))
 
 
+FAN_IN = 4096  # partial results that one row brings together
+
+
+def _batches_by_key(batches):
+    """The values of each key of a batch as one list. The last column holds the values, the others are the keys; nulls are left out."""
+    from pyspark import TaskContext
+
+    split = TaskContext.get().partitionId()
+    for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(batch.num_columns - 1)))
+        *keys, values = batch.columns
+        if not batch.num_rows:
+            continue
+        code = np.zeros(batch.num_rows, dtype=np.int64)
+        for k in keys:
+            coded = k.dictionary_encode()
+            code = np.unique(code, return_inverse=True)[1] * (len(coded.dictionary) + 1) + pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False) + 1
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) > 0)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), values.take(pa.array(order)))
+        head = pa.array(order[first])
+        yield pa.RecordBatch.from_arrays([*(k.take(head) for k in keys), pa.array(np.full(len(first), split), pa.int64()), lists], names=[*batch.schema.names[:-1], "__split", "__l"])
+
+
 # --- spaces -------------------------------------------------------------------------------------------------------
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.scan import chunk_of, ordered_scan
+from paperloom.session import checkpointed
 
 
 def monoids(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -121,18 +124,51 @@ def dominant_label(df: DataFrame, keys: list[str], label: str, conf: str) -> Dat
     return b.select(*keys, "b.label", F.col("b.n").alias("votes"), "total", F.round("b.mc", 3).alias("mean_conf"), F.round(F.col("b.n") / F.col("total"), 3).alias("agreement"))
 
 
+def order_values(df: DataFrame, keys: list[str], values: dict[str, Column], ranks, cells: int = 1024) -> DataFrame:
+    """Exact order statistics of a key of any size: ``keys, name, at, value``.
+
+    ``values`` names columns; ``ranks`` gives, for a count of non-null values, an array of zero-based places in their order. Equal values
+    fold to one row with a count. The range of a key is cut into ``cells``, counts by cell tell which one holds a place, and that cell is cut
+    again until one value is left: a key with a third of all rows is a fold in every task, and nothing is sorted.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()]))
+    c = checkpointed(df.select(*keys, named.alias("x")).select(*keys, "x.name", "x.v").where("v IS NOT NULL").groupBy(*keys, "name", "v").agg(F.count(F.lit(1)).alias("n")))
+    whole = c.groupBy(*keys, "name").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    open_ = checkpointed(whole.select(*keys, "name", "lo", "hi", F.posexplode(ranks(F.col("total"))).alias("at", "left")))
+    done = None
+    side = {k: f"__k{i}" for i, k in enumerate([*keys, "name"])}
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(s)) for k, s in side.items()))
+    while True:
+        cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))).otherwise(0)
+        met = open_.withColumnsRenamed(side).join(c, same).where("v >= lo AND v <= hi")
+        h = met.groupBy(*keys, "name", "at", "left", cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "name", "at").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hit = h.withColumn("__before", before).where((F.col("__before") <= F.col("left")) & (F.col("left") < F.col("__before") + F.col("n")))
+        hit = checkpointed(hit.select(*keys, "name", "lo", "hi", "at", (F.col("left") - F.col("__before")).alias("left")))
+        found = hit.where("lo = hi").select(*keys, "name", "at", F.col("lo").alias("value"))
+        done = found if done is None else done.unionByName(found)
+        open_ = hit.where("lo < hi")
+        if open_.isEmpty():
+            return done
+
+
+def medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Exact median of each named column, the mean of the two middle values of an even number; null where a key has none of it."""
+    found = order_values(df, keys, values, lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    return found.groupBy(*keys).agg(*[F.avg(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in values])
+
+
 def body_column(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Median left and right edge of the lines at least as wide as the median width."""
     w = F.col("x1") - F.col("x0")
-    med = lines.groupBy(*keys).agg(F.median(w).alias("__m"))
-    return lines.join(med, keys).where(w >= F.col("__m")).groupBy(*keys).agg(F.median("x0").alias("left"), F.median("x1").alias("right"))
+    med = medians(lines, keys, {"__m": w})
+    return medians(lines.join(med, keys).where(w >= F.col("__m")), keys, {"left": F.col("x0"), "right": F.col("x1")})
 
 
 def index_percentile(df: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
-    """Value at index ``floor(n * fraction)`` of the sorted values of a bounded group (a page)."""
-    d = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__l"))
-    i = F.least(F.size("__l") - 1, F.floor(F.size("__l") * fraction).cast("int"))
-    return d.select(*keys, F.get("__l", i).alias("value"))
+    """Value at index ``floor(n * fraction)`` of the sorted values of a key."""
+    found = order_values(df, keys, {"value": F.col(value)}, lambda n: F.array(F.least(n - 1, F.floor(n * fraction))))
+    return found.select(*keys, "value")
 
 
 def tally(df: DataFrame, keys: list[str], status: str, values: list[str]) -> DataFrame:

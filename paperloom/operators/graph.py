@@ -146,30 +146,71 @@ def belief(nodes: DataFrame, edges: DataFrame, combine: Callable[[Column], Colum
     raise RuntimeError("belief did not settle: the derivations hold a cycle")
 
 
+def chain_ends(succ: DataFrame) -> DataFrame:
+    """``node, to`` with one successor for each node, to ``node, last``: the first on its way that is no ``node`` itself; null on a cycle.
+
+    Every round doubles the way that a pointer spans, so a chain of n nodes takes about log2 n rounds. A pointer that spans more
+    steps than there are nodes runs round a cycle. A null successor stays null.
+    """
+    way = checkpointed(succ.select("node", F.col("to").alias("last")))
+    span, n, moving = 1, way.count(), True
+    while moving and span <= n:
+        ahead = way.select(F.col("node").alias("__at"), F.struct(F.col("last").alias("last")).alias("__on"))
+        moved = checkpointed(way.join(ahead, F.col("last") == F.col("__at"), "left").select("node", F.when(F.col("__on").isNull(), F.col("last")).otherwise(F.col("__on.last")).alias("last"), F.col("__on").isNotNull().alias("__moved")))
+        moving = not moved.where("__moved").isEmpty()
+        way, span = moved.drop("__moved"), 2 * span
+    return checkpointed(way.join(succ.select(F.col("node").alias("last"), F.lit(True).alias("__in")), "last", "left").select("node", F.when(F.col("__in").isNull(), F.col("last")).alias("last")))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Edges that remain when edges into nodes without outgoing edges are removed again and again; empty for a DAG."""
-    e = checkpointed(edges.select("subject", "object").distinct())
-    n = e.count()
-    while True:
-        e = checkpointed(e.join(e.select(F.col("subject").alias("object")).distinct(), "object", "left_semi").select("subject", "object"))
-        m = e.count()
-        if m == n or m == 0:
-            return e
-        n = m
+    """Edges that remain when edges into nodes without outgoing edges are removed again and again; empty for a DAG.
+
+    A node with one outgoing edge stays exactly if its successor does. Such chains are jumped over by pointer doubling; what
+    is left is the graph of the nodes where ways part, treated in the same way, until none is left. A chain of any length
+    thus takes a logarithmic number of rounds.
+    """
+    every = checkpointed(edges.where("subject IS NOT NULL AND object IS NOT NULL").select("subject", "object").distinct())
+    e, size, levels = every, every.count(), []
+    living = every.select(F.col("subject").alias("node")).limit(0)
+    while size:
+        degree = checkpointed(e.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("object").alias("to")))
+        ends = chain_ends(degree.where("n = 1").selectExpr("subject AS node", "to"))
+        parting = degree.where("n > 1").select(F.col("subject").alias("node"))
+        levels.append(ends)
+        # of the nodes where ways part: each way leads to another such node, to a cycle (null), or it ends and goes
+        told = e.join(parting.withColumnRenamed("node", "subject"), "subject", "left_semi").join(ends.select(F.col("node").alias("object"), F.struct("last").alias("__end")), "object", "left")
+        told = told.select("subject", F.when(F.col("__end").isNull(), F.col("object")).otherwise(F.col("__end.last")).alias("object")).distinct()
+        looped = told.where("object IS NULL").select("subject").distinct()
+        on = told.join(looped, "subject", "left_anti").join(parting.withColumnRenamed("node", "object"), "object", "left_semi").select("subject", "object")
+        nxt = checkpointed(on.unionByName(looped.withColumn("object", F.lit(None).cast(every.schema["object"].dataType))))
+        left = nxt.count()
+        if left == size:  # every node has two ways or more and none ends
+            living = checkpointed(parting)
+            break
+        e, size = nxt, left
+    for ends in reversed(levels):
+        on_cycle = ends.where("last IS NULL").select("node")
+        to_living = ends.join(living.select(F.col("node").alias("last")), "last", "left_semi").select("node")
+        living = checkpointed(living.unionByName(on_cycle).unionByName(to_living).distinct())
+    return every.join(living.select(F.col("node").alias("object")), "object", "left_semi").select("subject", "object")
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """All ancestors of every code with their distance; a code met before is not followed again. ``code, parent``."""
-    p = checkpointed(parents.where("parent IS NOT NULL").select("code", "parent").distinct())
-    seen = checkpointed(p.select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    front, d = seen, 1
+    """All ancestors of every code with their least distance, a code itself never among them. ``code, parent``.
+
+    The pairs at a distance of exactly ``span`` are followed by all shorter ones, which doubles what is known: a hierarchy of
+    depth d takes about log2 d rounds, and no pair is met through more than the middle of its shortest ways.
+    """
+    p = checkpointed(parents.where("parent IS NOT NULL AND code <> parent").select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    seen, edge, span = p, p, 1
     while True:
-        d += 1
-        nxt = front.join(p.select(F.col("code").alias("ancestor"), F.col("parent").alias("__next")), "ancestor").select("code", F.col("__next").alias("ancestor")).distinct()
-        nxt = checkpointed(nxt.where("code <> ancestor").join(seen.select("code", "ancestor"), ["code", "ancestor"], "left_anti").withColumn("distance", F.lit(d)))
-        if nxt.isEmpty():
+        on = seen.select(F.col("code").alias("ancestor"), F.col("ancestor").alias("__next"), F.col("distance").alias("__more"))
+        far = edge.join(on, "ancestor").where(F.col("code") != F.col("__next")).groupBy("code", F.col("__next").alias("ancestor")).agg(F.min(F.col("distance") + F.col("__more")).alias("distance"))
+        new = checkpointed(far.join(seen.select("code", "ancestor"), ["code", "ancestor"], "left_anti"))
+        if new.isEmpty():
             return seen
-        seen, front = seen.unionByName(nxt), nxt
+        span *= 2
+        seen, edge = checkpointed(seen.unionByName(new)), new.where(F.col("distance") == span)
 
 
 def siblings(parents: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ from paperloom.functions.quantity import convert
 from paperloom.functions.similarity import sorted_tokens
 from paperloom.functions.spans import explode_spans
 from paperloom.functions.text import number_list
+from paperloom.operators.aggregate import medians
 from paperloom.operators.scan import chunk_of, ordered_scan, ordered_text
-from paperloom.session import bounded, checkpointed
+from paperloom.session import checkpointed, stored
 
 
 def cite_keys(citations: DataFrame, references: DataFrame, doc: str) -> DataFrame:
@@ -356,7 +357,7 @@ def layout_neighbours(words: DataFrame, block: list[str], line: str, factor: flo
     """
     w = Window.partitionBy(*block, line).orderBy("x0", "id")
     across = words.select(*block, F.col("id").alias("a"), F.lead("id").over(w).alias("b"), F.lit("across").alias("kind")).where("b IS NOT NULL")
-    med = words.groupBy(*block).agg(F.median(F.col("x1") - F.col("x0")).alias("__m"))
+    med = medians(words, block, {"__m": F.col("x1") - F.col("x0")})
     d = words.join(med, block).select(*block, line, "id", ((F.col("x0") + F.col("x1")) / 2).alias("__c"), (F.col("__m") * factor).alias("__t"))
     lines = d.select(*block, line).distinct().withColumn("__next", F.lead(line).over(Window.partitionBy(*block).orderBy(line)))
     band = F.floor(F.col("__c") / F.greatest(F.col("__t"), F.lit(1e-9)))
@@ -394,7 +395,7 @@ def signature_rank(queries: DataFrame, index: DataFrame, k: int | None = 10) ->
     qs = queries.select("query_id", as_set(F.col("lines")).alias("ql"))
     es = index.select("entry_id", as_set(F.col("lines")).alias("el")).withColumn("set_id", F.sha2(F.to_json("el"), 256))
     sets = es.groupBy("set_id").agg(F.first("el").alias("el"))
-    shared = bounded(qs.select("query_id", F.size("ql").alias("qn"), F.explode("ql").alias("line"))).join(
+    shared = stored(qs.select("query_id", F.size("ql").alias("qn"), F.explode("ql").alias("line"))).join(
         sets.select("set_id", F.size("el").alias("en"), F.explode("el").alias("line")), "line")
     s = shared.groupBy("query_id", "set_id").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
     s = s.select("query_id", "set_id", F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 4).alias("score"))
@@ -422,7 +423,7 @@ def align_contents(entries: DataFrame, sections: DataFrame, doc: str) -> DataFra
     s = sections.withColumn("__n", F.trim(F.lower(F.regexp_replace("caption", r"[^\p{L}\p{N}]+", " ")))).where("page IS NOT NULL AND __n <> ''")
     s = s.groupBy(doc, "__n").agg(F.min_by("page", "seq").alias("section_page"))
     d = entries.withColumn("__n", F.trim(norm)).join(s, [doc, "__n"], "left")
-    off = d.where("section_page IS NOT NULL").groupBy(doc).agg(F.median(F.col("section_page") - F.col("printed_page")).cast("int").alias("offset"))
+    off = medians(d.where("section_page IS NOT NULL"), [doc], {"offset": F.col("section_page") - F.col("printed_page")}).withColumn("offset", F.col("offset").cast("int"))
     return d.join(off, doc, "left").select(*entries.columns, F.coalesce("section_page", F.col("printed_page") + F.coalesce("offset", F.lit(0))).alias("pdf_page"),
                                            F.col("section_page").isNotNull().alias("exact"))
 
@@ -463,14 +464,14 @@ def blank_math(text: Column) -> Column:
 
 
 def author_cites(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``(Surname, 2019; Other, 2020)`` groups outside math to surname and year keys."""
+    """``(Surname, 2019; Other, 2020)`` groups outside math to surname and year keys, with the group's offset and length in the text."""
     year = r"(?:19|20)[0-9]{2}[a-z]?"
     d = texts.where(F.col(text).rlike(year)).select(key, blank_math(F.col(text)).alias("__t"))
-    groups = d.select(key, F.explode(F.regexp_extract_all("__t", F.lit(r"[(\[]([^()\[\]]*?" + year + r"[^()\[\]]*)[)\]]"), 1)).alias("g"))
-    parts = groups.select(key, F.explode(F.split("g", ";")).alias("p"))
+    groups = explode_spans(d, key, "__t", r"[(\[][^()\[\]]*?" + year + r"[^()\[\]]*[)\]]").select(key, F.col("start").alias("offset"), F.length("value").alias("length"), F.expr("substring(value, 2, length(value) - 2)").alias("g"))
+    parts = groups.select(key, "offset", "length", F.explode(F.split("g", ";")).alias("p"))
     surname, y = F.regexp_extract("p", r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z\-']+)", 1), F.regexp_extract("p", r"(?<![\p{L}\p{N}_])" + year + r"(?![\p{L}\p{N}_])", 0)
-    return parts.select(key, surname.alias("author"), y.alias("year")).where((F.col("author") != "") & (F.col("year") != "") & ~F.lower("author").isin(AUTHOR_STOP)).select(
-        key, F.concat("author", "year").alias("citekey"), "author", "year")
+    return parts.select(key, "offset", "length", surname.alias("author"), y.alias("year")).where((F.col("author") != "") & (F.col("year") != "") & ~F.lower("author").isin(AUTHOR_STOP)).select(
+        key, F.concat("author", "year").alias("citekey"), "author", "year", "offset", "length")
 
 
 def number_cites(texts: DataFrame, key: str, text: str, top: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import extract as X
 from paperloom.operators.scan import chunk_of, ordered_scan, top_k
-from paperloom.session import bounded
+from paperloom.session import stored
 
 TOKEN = r"\p{L}{2,}"
+SLACK = 1e-5  # of sums that are rounded to six places before they are ranked
 
 
 def tokens(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -20,31 +21,101 @@ def tokens(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def idf(toks: DataFrame, units: DataFrame) -> DataFrame:
     """ln(1 + units / units with the token)."""
     n = units.agg(F.count("*")).scalar()
-    return toks.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log(1 + n / F.col("df")).alias("idf"))
+    return toks.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log(1 + n / F.col("df")).alias("idf"), "df")
 
 
-def scores(units: DataFrame, unit_id: str, text: str, questions: DataFrame, question_id: str, question: str) -> DataFrame:
+def postings(units: DataFrame, unit_id: str, text: str, questions: DataFrame, question_id: str, question: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the units that a question asks for (``unit_id, token``), and the tokens of the questions, the rarest first.
+
+    The second table, ``question_id, token, idf, df``, carries ``above``: the idf of a token and of all tokens of its question
+    that are more frequent, and ``before``: how many postings the rarer ones have. Both are written once.
+    """
+    q = stored(tokens(questions, [question_id], question).distinct())
+    wanted = stored(tokens(units, [unit_id], text).join(q.select("token").distinct(), "token", "left_semi").select(unit_id, "token"))
+    rarest = Window.partitionBy(question_id).orderBy("df", "token")  # a question's own tokens
+    weights = q.join(idf(wanted, units), "token").select(
+        question_id, "token", "idf", "df", F.sum("idf").over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("above"),
+        F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return wanted, stored(weights)
+
+
+def scores(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str) -> DataFrame:
     """Summed idf of the tokens that a unit shares with a question; a pair without a shared token has no row."""
-    toks = tokens(units, [unit_id], text)
-    q = tokens(questions, [question_id], question).distinct()
-    q = bounded(q)
-    wanted = toks.join(q.select("token").distinct(), "token", "left_semi")
-    weighted = bounded(q.join(idf(wanted, units), "token"))
-    return toks.join(weighted, "token").groupBy(question_id, unit_id).agg(F.sum("idf").alias("score"))
+    return wanted.join(weights.select(question_id, "token", "idf"), "token").groupBy(question_id, unit_id).agg(F.sum("idf").alias("score"))
+
+
+def best_scores(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str, k: int) -> DataFrame:
+    """``question_id, unit_id, score, rank`` of the ``k`` best units of each question, without scoring those that cannot be among them.
+
+    1. The rarest tokens of a question, up to ``8 k`` postings and at least one, give partial scores; the k-th of them is a floor that
+       the k-th best score cannot lie below.
+    2. Tokens whose idf, with that of all more frequent ones, stays below the floor cannot bring up a unit alone. The other tokens
+       are added up; a unit counts if its sum and all the idf left out reach the floor, which has risen.
+    3. Only these units get their full score.
+    """
+    def floor_of(partial):
+        few = top_k(partial, [question_id], [F.desc("score"), F.col(unit_id)], k, F.col(unit_id)).where(F.col("rank") == k)
+        return few.select(question_id, (F.col("score") - SLACK).alias("floor"))
+
+    seeds = weights.where(F.col("before") < 8 * k)
+    low = stored(floor_of(scores(wanted, seeds, unit_id, question_id)))
+    w = weights.join(low, question_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    lead = w.where(F.col("above") >= F.col("floor"))
+    rest = w.groupBy(question_id).agg(F.coalesce(F.max(F.when(F.col("above") < F.col("floor"), F.col("above"))), F.lit(0.0)).alias("rest"), F.first("floor").alias("floor"))
+    partial = stored(scores(wanted, lead, unit_id, question_id))
+    high = rest.join(floor_of(partial).withColumnRenamed("floor", "high"), question_id, "left")
+    reach = partial.join(high, question_id).where(F.col("score") + F.col("rest") >= F.greatest("floor", F.coalesce("high", F.lit(0.0))))
+    reach = stored(reach.select(question_id, unit_id))
+    full = wanted.join(reach, unit_id).join(weights.select(question_id, "token", "idf"), [question_id, "token"]).groupBy(question_id, unit_id).agg(F.round(F.sum("idf"), 6).alias("score"))
+    return top_k(full, [question_id], [F.desc("score"), F.col(unit_id)], k, F.col(unit_id))
 
 
 def retrieve(units: DataFrame, unit_id: str, text: str, questions: DataFrame, question_id: str, question: str, k: int) -> DataFrame:
     """Top-k units per question, ties by id."""
-    s = scores(units, unit_id, text, questions, question_id, question).withColumn("score", F.round("score", 6))
-    return top_k(s, [question_id], [F.desc("score"), F.col(unit_id)], k, F.col(unit_id))
+    return best_scores(*postings(units, unit_id, text, questions, question_id, question), unit_id, question_id, k)
 
 
 def structural(units: DataFrame, unit_id: str, text: str, question: DataFrame, question_id: str, question_text: str) -> DataFrame:
     """All units with their score for one question; units without a shared token keep zero."""
-    s = scores(units, unit_id, text, question, question_id, question_text).groupBy(unit_id).agg(F.sum("score").alias("score"))
+    s = scores(*postings(units, unit_id, text, question, question_id, question_text), unit_id, question_id).groupBy(unit_id).agg(F.sum("score").alias("score"))
     return units.select(unit_id).join(s, unit_id, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def sharing(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str) -> DataFrame:
+    """``question_id, units``: how many units share a token with a question.
+
+    Each token's units become bitmaps of 32,768 unit numbers, and a question's tokens are joined bit by bit; the pairs of
+    question and unit are never listed. Unit ids must be whole numbers.
+    """
+    u = F.col(unit_id).cast("bigint")
+    maps = wanted.groupBy("token", F.bitmap_bucket_number(u).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(u)).alias("bits"))
+    both = maps.join(weights.select(question_id, "token"), "token").groupBy(question_id, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return both.groupBy(question_id).agg(F.sum(F.bitmap_count("bits")).alias("units"))
+
+
+def budgeted(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str, costs: DataFrame, budget: int, first: int = 32) -> DataFrame:
+    """The best units of each question while their running cost stays in the budget, at least the first one.
+
+    ``costs``: unit_id, cost (at least one). Yields ``question_id, unit_id, rank, score, cost, used, dropped``. The ``first`` best are tried; questions whose budget
+    lasts beyond them are asked again eight times as deep, so depth follows the budget and no question is cut off.
+    """
+    kept, open_, k = None, weights, min(first, budget + 1)
+    while True:
+        ranked = best_scores(wanted, open_, unit_id, question_id, k).join(costs, unit_id)
+        w = Window.partitionBy(question_id).orderBy("rank")  # k rows of a question
+        d = stored(ranked.withColumn("used", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last", F.max("rank").over(Window.partitionBy(question_id))).withColumn("total", F.sum("cost").over(Window.partitionBy(question_id))))
+        more = d.where((F.col("last") == k) & (F.col("total") <= budget) & F.lit(k <= budget)).select(question_id).distinct()
+        again = stored(weights.join(more, question_id, "left_semi"))
+        fine = d.join(more, question_id, "left_anti").where((F.col("used") <= budget) | (F.col("rank") == 1))
+        kept = fine if kept is None else kept.unionByName(fine)
+        if again.isEmpty():
+            break
+        open_, k = again, min(8 * k, budget + 1)
+    n = kept.groupBy(question_id).agg(F.count(F.lit(1)).alias("__kept"))
+    return kept.join(n, question_id).join(sharing(wanted, weights, unit_id, question_id), question_id).select(
+        question_id, unit_id, "rank", "score", "cost", "used", (F.col("units") - F.col("__kept")).alias("dropped"))
+
+
 def token_budget(ranked: DataFrame, key: str, rank: str, cost: Column, budget: int) -> DataFrame:
     """Units while their running cost stays in the budget, at least the first one; ``dropped`` counts the others.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import gram_rows
-from paperloom.session import bounded
+from paperloom.session import stored
 
 PREFERRED, SYNONYM, PHRASE_BOOST = 1.0, 0.7, 1.3
 MAX_SCHEMES = 1000
@@ -30,7 +30,7 @@ def concept_hits(texts: DataFrame, key: list[str], posting: DataFrame, idf: Data
     """Score of every concept that shares a gram with a text; a gram counts once per text. ``key`` names one row of texts."""
     index = posting.join(idf, ["scheme", "gram"]).select(
         "scheme", "gram", "code", (F.col("weight") * F.col("idf")).alias("s"), F.col("gram").contains(" ").alias("__p"))
-    index = bounded(index)
+    index = stored(index)
     grams = gram_rows(texts, key, "text", distinct=True)
     return grams.join(index, "gram").groupBy(*key, "scheme", "code").agg(
         F.sum("s").alias("score"), F.max("__p").alias("phrase"), F.count("*").alias("grams"))

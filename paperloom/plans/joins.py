@@ -116,11 +116,11 @@ def seconds(df):
 
 
 @query("jn_eq_number", f"""WITH e AS (SELECT user_id, event_id, event_type, {SEC} AS y FROM events),
-p AS (SELECT a.user_id, a.event_id, b.event_id AS number_id, abs(a.y - b.y) AS d, b.y FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.y - b.y) <= 36000)
+p AS (SELECT a.user_id, a.event_id, b.event_id AS number_id, abs(a.y - b.y) AS d, b.y FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type <> 'click' AND b.event_type = 'click' AND abs(a.y - b.y) <= 36000)
 SELECT user_id, event_id, number_id, round(d, 3) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, y, number_id) = 1""")
 def jn_eq_number(t):
     e = seconds(t.events)
-    a, b = e.where("event_type = 'purchase'"), e.where("event_type = 'click'").withColumnRenamed("event_id", "number_id")
+    a, b = e.where("event_type <> 'click'"), e.where("event_type = 'click'").withColumnRenamed("event_id", "number_id")
     n = J.nearest(a, b, ["user_id"], "event_id", "number_id", "y", 86400.0)
     return n.where("distance <= 36000").select("user_id", "event_id", "number_id", F.round("distance", 3).alias("distance"))
 
@@ -437,7 +437,7 @@ SELECT o_custkey, o_orderkey, coalesce(page, printed + coalesce(offs, 0)) AS pdf
 def jn_toc_align(t):
     title = "o_orderpriority || ' ' || CAST(o_orderkey % 5 AS STRING)"
     e = t.orders.selectExpr("o_custkey", "o_orderkey", f"{title} AS title", "day(o_orderdate) AS printed_page")
-    s = t.orders.where("o_orderstatus <> 'P'").selectExpr("o_custkey", "o_orderkey AS seq", f"{title} AS caption", "day(o_orderdate) + 12 AS page")
+    s = t.orders.selectExpr("o_custkey", "o_orderkey AS seq", f"{title} AS caption", "CASE WHEN o_orderstatus <> 'P' THEN day(o_orderdate) + 12 END AS page")  # else a section whose page is not known
     return J.align_contents(e, s, "o_custkey").select("o_custkey", "o_orderkey", "pdf_page", "exact")
 
 
@@ -460,9 +460,9 @@ def jn_modeldiff(t):
     return J.changed_fields(c.where("c_custkey % 10 <> 3"), new, "c_custkey", c.where("c_custkey % 2 = 0"))
 
 
-@query("jn_author_cites", """SELECT p_partkey, 'Asai20' || (10 + p_size) AS citekey, 'Asai' AS author, '20' || (10 + p_size) AS year FROM part UNION ALL SELECT p_partkey, 'Kuhn2019b', 'Kuhn', '2019b' FROM part""")
+@query("jn_author_cites", """SELECT p_partkey, 'Asai20' || (10 + p_size) AS citekey, 'Asai' AS author, '20' || (10 + p_size) AS year, length(p_name) + 1 AS offset, 34 + length(CAST(10 + p_size AS VARCHAR)) AS length FROM part UNION ALL SELECT p_partkey, 'Kuhn2019b', 'Kuhn', '2019b', length(p_name) + 1, 34 + length(CAST(10 + p_size AS VARCHAR)) FROM part""")
 def jn_author_cites(t):
-    d = t.part.selectExpr("p_partkey", "'so (see Asai et al., 20' || CAST(10 + p_size AS STRING) || '; Kuhn, 2019b) and $f(Beta, 2001)$ or (Section 1999) or (no)' AS text")
+    d = t.part.selectExpr("p_partkey", "p_name || ' (see Asai et al., 20' || CAST(10 + p_size AS STRING) || '; Kuhn, 2019b) and $f(Beta, 2001)$ or (Section 1999) or (no)' AS text")
     return J.author_cites(d, "p_partkey", "text")
 
 

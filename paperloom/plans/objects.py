@@ -81,18 +81,18 @@ def obj_section(t):
     return s.select("doc_id", "page", "cmd", F.md5("caption").alias("caption"), "level")
 
 
-LIST_TEXT = """CASE pos % 5 WHEN 0 THEN '• ' || text WHEN 1 THEN CAST(pos AS STRING) || '. ' || text WHEN 2 THEN 'a • ' || replace(text, '.', ' • ') ELSE text END"""
+LIST_TEXT = """CASE pos % 5 WHEN 0 THEN '• ' || text WHEN 1 THEN CAST(pos AS STRING) || '. ' || text WHEN 2 THEN 'a • ' || replace(text, '.', ' • ') WHEN 3 THEN '• x • ' || text ELSE '• ' || text || ' end' END"""
 
 
 @query("obj_list_items", f"""WITH {duck.LINES}, l AS (SELECT doc_id, pos, trim(text) AS text FROM doc_line WHERE trim(text) <> ''),
-m AS (SELECT doc_id, pos, list_filter(list_transform(string_split('a • ' || replace(text, '.', ' • '), '•'), lambda x: trim(x)), lambda x: x <> '') AS p FROM l WHERE pos % 5 = 2)
+m AS (SELECT doc_id, pos, list_filter(list_transform(string_split(CASE pos % 5 WHEN 2 THEN 'a • ' || replace(text, '.', ' • ') ELSE '• x • ' || text END, '•'), lambda x: trim(x)), lambda x: x <> '') AS p FROM l WHERE pos % 5 IN (2, 3))
 SELECT doc_id, pos, 0 AS item_no, '•' AS marker, md5(text) AS h FROM l WHERE pos % 5 = 0
 UNION ALL SELECT doc_id, pos, 0, pos || '.', md5(text) FROM l WHERE pos % 5 = 1
+UNION ALL SELECT doc_id, pos, 0, '•', md5(text || ' end') FROM l WHERE pos % 5 = 4
 UNION ALL SELECT doc_id, pos, CAST(unnest(range(len(p))) AS INT), '•', md5(unnest(p)) FROM m""")
 def obj_list_items(t):
     d = text_lines(t.documents, "doc_id").where("trim(text) <> ''").withColumn("text", F.trim("text")).selectExpr(
         "doc_id", "pos AS page", "pos AS line_index", "'text' AS type", f"{LIST_TEXT} AS text")
-    d = d.where("line_index % 5 < 3")
     return O.list_items(d, "doc_id").select("doc_id", F.col("line_index").alias("pos"), "item_no", "marker", F.md5("content").alias("h"))
 
 

@@ -8,7 +8,6 @@ from paperloom.operators import ranking as R
 from paperloom.plans import duck
 from paperloom.plans.base import TYPED, typed_lines
 from paperloom.plans.registry import query
-from paperloom.session import checkpointed
 from paperloom.sources.lines import text_lines
 
 SCORES = r"""WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS token FROM documents),
@@ -45,13 +44,9 @@ k AS (SELECT * FROM u WHERE used <= {BUDGET} OR rank = 1)
 SELECT item_id, doc_id, rank, cost, CAST(used AS BIGINT) AS used, n - count(*) OVER (PARTITION BY item_id) AS dropped FROM k""")
 def top_context_budget(t):
     """Ranked documents per question while a token budget lasts."""
-    s = checkpointed(R.scores(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").withColumn("score", F.round("score", 6)))
-    total = s.groupBy("item_id").agg(F.count("*").alias("__n"))
-    few = R.top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], BUDGET + 1, F.col("doc_id"))
-    d = few.join(t.documents.select("doc_id", "n_chars"), "doc_id")
-    kept = checkpointed(R.token_budget(d, "item_id", "rank", F.expr("n_chars div 4 + 1"), BUDGET))
-    within = kept.groupBy("item_id").agg(F.count("*").alias("__k"))
-    return kept.drop("dropped").join(within, "item_id").join(total, "item_id").select("item_id", "doc_id", "rank", "cost", "used", (F.col("__n") - F.col("__k")).alias("dropped"))
+    wanted, weights = R.postings(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    costs = t.documents.selectExpr("doc_id", "n_chars div 4 + 1 AS cost")
+    return R.budgeted(wanted, weights, "doc_id", "item_id", costs, BUDGET).drop("score")
 
 
 @query("top_context_chars", SCORES + """, u AS (SELECT item_id, doc_id, rank, sum(n_chars) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM r JOIN documents USING (doc_id) WHERE rank <= 8) SELECT item_id, doc_id, rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= 4000""")
@@ -125,11 +120,11 @@ def set_vocab_resolve(t):
     return both.where(F.col("code").isin("Brand#7", "Brand#12"))
 
 
-@query("set_index_replace", """SELECT p_brand, p_partkey, 'old' AS origin FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50) UNION ALL SELECT p_brand, p_partkey, 'new' FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50) AND p_type = 'ECONOMY'""")
+@query("set_index_replace", """SELECT p_brand, p_partkey, 'old' AS origin FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50) UNION ALL SELECT p_brand, p_partkey, 'new' FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)""")
 def set_index_replace(t):
     old = t.part.select("p_brand", "p_partkey", F.lit("old").alias("origin"))
     hot = t.part.where("p_size = 50").select("p_brand").distinct()
-    fresh = t.part.where("p_type = 'ECONOMY'").join(hot, "p_brand", "left_semi").select("p_brand", "p_partkey", F.lit("new").alias("origin"))
+    fresh = t.part.join(hot, "p_brand", "left_semi").select("p_brand", "p_partkey", F.lit("new").alias("origin"))
     return R.replace_rows(old, fresh, "p_brand", hot)
 
 

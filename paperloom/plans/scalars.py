@@ -421,7 +421,7 @@ CLAIM_WORDS, DEFINE_WORDS = r"(?i)(?:^|[^\p{L}\p{N}_])(?:thand|eaux|soll)(?:$|[^
 
 @query("fx_claims", f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+([A-ZÄÖÜ])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS sent FROM documents),
 k AS (SELECT doc_id, CASE WHEN regexp_matches(sent, {q(DEFINE_WORDS)}) THEN 'definition' WHEN regexp_matches(sent, {q(CLAIM_WORDS)}) THEN 'claim' END AS kind,
-  substr(trim(regexp_replace(sent, '\\s+', ' ', 'g')), 1, 300) AS statement FROM s)
+  trim(regexp_replace(sent, '\\s+', ' ', 'g')) AS statement FROM s)
 SELECT doc_id, kind, md5(statement) AS statement, count(*) AS n FROM k WHERE kind IS NOT NULL AND length(statement) >= 15 GROUP BY ALL""")
 def fx_claims(t):
     c = P.claims(t.documents, "doc_id", "text", CLAIM_WORDS, DEFINE_WORDS)
@@ -576,17 +576,20 @@ def fx_citekey(t):
 
 
 @query("fx_dehyph_qc", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
-s AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part),
+s AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'self' ELSE string_split(p_name, ' ')[1] END AS a, CASE WHEN p_partkey % 3 = 0 THEN upper(string_split(p_name, ' ')[2]) ELSE string_split(p_name, ' ')[2] END AS b FROM part),
 pw AS (SELECT word FROM w UNION SELECT replace(p_name, ' ', '') FROM part WHERE p_size > 25 UNION SELECT replace(p_name, ' ', '-') FROM part WHERE p_size <= 10),
-j AS (SELECT p_partkey, a, b, a || b IN (SELECT word FROM pw) AS j, a || '-' || b IN (SELECT word FROM pw) AS h FROM s)
-SELECT p_partkey, a AS "left", b AS "right", CASE WHEN j THEN 'join' WHEN h THEN 'keep' ELSE 'review' END AS decision FROM j""")
+j AS (SELECT p_partkey, a, b, lower(a || b) IN (SELECT word FROM pw) AS j, lower(a || '-' || b) IN (SELECT word FROM pw) AS h FROM s)
+SELECT p_partkey, a AS "left", b AS "right", CASE WHEN j THEN 'join' WHEN h THEN 'keep' ELSE 'review' END AS decision,
+  CASE WHEN j THEN 'join' WHEN h OR p_partkey % 3 = 0 OR p_partkey % 7 = 0 THEN 'keep' ELSE 'join' END AS weak FROM j""")
 def fx_dehyph_qc(t):
     w = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("word"))
     p = t.part
     extra = p.where("p_size > 25").select(F.expr("replace(p_name, ' ', '')").alias("word")).unionByName(
         p.where("p_size <= 10").select(F.expr("replace(p_name, ' ', '-')").alias("word")))
-    pairs = p.select("p_partkey", F.expr("replace(p_name, ' ', '-\\n')").alias("text"))
-    return P.hyphen_decisions(pairs, "p_partkey", "text", w.unionByName(extra).distinct())
+    left, right = "CASE WHEN p_partkey % 7 = 0 THEN 'self' ELSE split(p_name, ' ')[0] END", "CASE WHEN p_partkey % 3 = 0 THEN upper(split(p_name, ' ')[1]) ELSE split(p_name, ' ')[1] END"
+    pairs, words = p.select("p_partkey", F.expr(f"{left} || '-\\n' || {right}").alias("text")), w.unionByName(extra).distinct()
+    sure = P.hyphen_decisions(pairs, "p_partkey", "text", words)
+    return sure.join(P.hyphen_decisions(pairs, "p_partkey", "text", words, strong=False).select("p_partkey", F.col("decision").alias("weak")), "p_partkey")
 
 
 OPS = {r"\leqslant": r"\leq", r"\geqslant": r"\geq", r"\lbrace": r"\{"}

@@ -252,14 +252,14 @@ def win_conclusion(t):
     return W.conclusion(o, "doc_id", "pos").select("doc_id", "pos", "source")
 
 
-@query("win_repair_pages", f"""WITH {TYPED}, s AS (SELECT doc_id, pos, page FROM typed WHERE line_index = 0), c AS (SELECT doc_id, pos, page FROM typed WHERE line_index > 2),
+@query("win_repair_pages", f"""WITH {TYPED}, s AS (SELECT doc_id, pos, page FROM typed WHERE line_index = 0), c AS (SELECT doc_id, pos, page FROM typed WHERE line_index > 0),
 o AS (SELECT doc_id, pos // 10 * 10 AS id, min(page) AS own FROM c GROUP BY ALL),
 j AS (SELECT s.doc_id, s.pos AS id, 1 AS page, coalesce(own, (SELECT min(page) FROM c WHERE c.doc_id = s.doc_id AND c.pos > s.pos)) AS cp FROM s LEFT JOIN o ON o.doc_id = s.doc_id AND o.id = s.pos)
 SELECT doc_id, id, CASE WHEN abs(page - cp) > 1 THEN cp ELSE page END AS page, CASE WHEN abs(page - cp) > 1 THEN page END AS page_before FROM j""")
 def win_repair_pages(t):
     d = typed_lines(t)
     s = d.where("line_index = 0").selectExpr("doc_id", "pos AS id", "1 AS page", "pos AS flow")
-    c = d.where("line_index > 2").selectExpr("doc_id", "pos div 10 * 10 AS owner", "page", "pos AS flow")
+    c = d.where("line_index > 0").selectExpr("doc_id", "pos div 10 * 10 AS owner", "page", "pos AS flow")
     return W.repair_pages(s, c, "doc_id")
 
 

@@ -47,13 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A lookup side of a join, written once and counted: up to ``max_rows`` it is broadcast, beyond that it is shuffled.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written below the shared folder and read again: computed once, and of a size in bytes that the planner knows.
 
-    The planner takes an exploded text for as small as its file and may broadcast the wrong side; the count is exact.
+    The planner takes an exploded text for as small as its file and may broadcast the wrong side of a join; of a table
+    that stands in files it broadcasts what its own threshold in bytes allows, and shuffles the rest.
     """
-    d = checkpointed(df)
-    return F.broadcast(d) if d.count() <= max_rows else d
+    folder = work_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
