@@ -10,6 +10,7 @@ from paperloom.operators.scan import chunk_of, ordered_scan, top_k
 from paperloom.session import stored
 
 TOKEN = r"\p{L}{2,}"
+MARGIN = 0.7  # below one: more tokens are added up at first, and fewer units need their full score
 SLACK = 1e-5  # of sums that are rounded to six places before they are ranked
 
 
@@ -47,27 +48,27 @@ def scores(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str
 def best_scores(wanted: DataFrame, weights: DataFrame, unit_id: str, question_id: str, k: int) -> DataFrame:
     """``question_id, unit_id, score, rank`` of the ``k`` best units of each question, without scoring those that cannot be among them.
 
-    1. The rarest tokens of a question, up to ``8 k`` postings and at least one, give partial scores; the k-th of them is a floor that
-       the k-th best score cannot lie below.
-    2. Tokens whose idf, with that of all more frequent ones, stays below the floor cannot bring up a unit alone. The other tokens
-       are added up; a unit counts if its sum and all the idf left out reach the floor, which has risen.
+    1. The rarest tokens of a question, up to ``8 k`` postings and at least one, name ``8 k`` units; the k-th best of their full scores is
+       a floor that the k-th best score of all cannot lie below.
+    2. Tokens whose idf, with that of all more frequent ones, stays below ``MARGIN`` of the floor cannot bring up a unit alone. The
+       other tokens are added up; a unit counts if its sum and all the idf left out reach the floor.
     3. Only these units get their full score.
     """
-    def floor_of(partial):
-        few = top_k(partial, [question_id], [F.desc("score"), F.col(unit_id)], k, F.col(unit_id)).where(F.col("rank") == k)
-        return few.select(question_id, (F.col("score") - SLACK).alias("floor"))
-
-    seeds = weights.where(F.col("before") < 8 * k)
-    low = stored(floor_of(scores(wanted, seeds, unit_id, question_id)))
-    w = weights.join(low, question_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    lead = w.where(F.col("above") >= F.col("floor"))
-    rest = w.groupBy(question_id).agg(F.coalesce(F.max(F.when(F.col("above") < F.col("floor"), F.col("above"))), F.lit(0.0)).alias("rest"), F.first("floor").alias("floor"))
-    partial = stored(scores(wanted, lead, unit_id, question_id))
-    high = rest.join(floor_of(partial).withColumnRenamed("floor", "high"), question_id, "left")
-    reach = partial.join(high, question_id).where(F.col("score") + F.col("rest") >= F.greatest("floor", F.coalesce("high", F.lit(0.0))))
-    reach = stored(reach.select(question_id, unit_id))
-    full = wanted.join(reach, unit_id).join(weights.select(question_id, "token", "idf"), [question_id, "token"]).groupBy(question_id, unit_id).agg(F.round(F.sum("idf"), 6).alias("score"))
-    return top_k(full, [question_id], [F.desc("score"), F.col(unit_id)], k, F.col(unit_id))
+    def full(pairs):
+        met = wanted.join(pairs.select(question_id, unit_id), unit_id).join(weights.select(question_id, "token", "idf"), [question_id, "token"])
+        return met.groupBy(question_id, unit_id).agg(F.round(F.sum("idf"), 6).alias("score"))
+
+    def best(scored, n):
+        return top_k(scored, [question_id], [F.desc("score"), F.col(unit_id)], n, F.col(unit_id))
+
+    seeds = best(scores(wanted, weights.where(F.col("before") < 8 * k), unit_id, question_id), 8 * k)
+    floor = stored(best(full(seeds), k).where(F.col("rank") == k).select(question_id, (F.col("score") - SLACK).alias("floor")))
+    w = weights.join(floor, question_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    low = F.col("floor") * MARGIN
+    lead = w.where(F.col("above") >= low)
+    rest = w.groupBy(question_id).agg(F.coalesce(F.max(F.when(F.col("above") < low, F.col("above"))), F.lit(0.0)).alias("rest"), F.first("floor").alias("floor"))
+    reach = scores(wanted, lead, unit_id, question_id).join(rest, question_id).where(F.col("score") + F.col("rest") >= F.col("floor"))
+    return best(full(reach), k)
 
 
 def retrieve(units: DataFrame, unit_id: str, text: str, questions: DataFrame, question_id: str, question: str, k: int) -> DataFrame:
