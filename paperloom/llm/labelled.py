@@ -54,7 +54,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
 
 
 def with_score(docs: DataFrame, name: str, scorer: Callable[[], Callable[[pa.Array], np.ndarray]], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a column of scores; ``scorer`` is called once in each task."""
+    """The rows of ``docs`` with a column of scores; ``scorer`` is called once in each task. ``name`` must be free: another column of
+    that name raises, since nobody could select either. A null text is scored as an empty one; every row stays."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {name} already; give the score another name")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):

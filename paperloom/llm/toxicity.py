@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.labelled import sample, sigmoid, temperature, with_score
 from paperloom.llm.words import batch_of, slices, spread, split_words, texts
+from paperloom.session import checkpointed
 
 # Which letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x"}
@@ -30,7 +31,10 @@ NO_WORD = re.compile(rf"^(?!.*[^\W\d_])(?:.*\d|[^{MAPPED}]*[{MAPPED}]?[^{MAPPED}
 OUTSIDE = re.compile(rf"^[^\w{MAPPED}]+|[^\w{MAPPED}]+$")
 EDGE_SIGNS = re.compile(rf"^[{MAPPED}]+|[{MAPPED}]+$")
 SPACED = re.compile(r"(?:[^\s.\-_*~/][.\-_*~/]+)+[^\s.\-_*~/]")
+#: Punctuation that no letter hides behind and that may glue words together.
+GLUE = re.compile(r"""[,;:?"“”„«»)\]\[{}<>]+(?=\w)""")
 EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w]+$")
+PIECE = 5  # letters of a piece that a blank may have cut off
 LENGTHS = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 20
 
@@ -113,19 +117,29 @@ def kinds_of(show: str) -> tuple[int, ...]:
     return tuple(coded(show).tolist())
 
 
-def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+def flat(model) -> list[float]:
+    """The table of log probabilities as one list, which single look-ups read fastest."""
+    return model if isinstance(model, list) else model.ravel().tolist()
+
+
+def viterbi(places: list[list[tuple[str, float]]], model) -> str:
     """The likeliest path through a lattice of any length; a state is the last two characters, its path a chain of choices."""
-    best: dict = {(0, 0): (0.0, None)}
+    if all(len(c) == 1 for c in places):  # one path only
+        return "".join(c[0][0] for c in places).rstrip("\n")
+    model = flat(model)
+    best: dict = {0: (0.0, None)}  # by the kinds of the last two characters, as one number
     for choices in places + [[("\n", 0.0)]]:
         nxt: dict = {}
-        for (a, b), (cost, said) in best.items():
-            for show, price in choices:
-                p, q, total = a, b, cost + price
-                for k in kinds_of(show):
-                    total -= float(model[p, q, k])
-                    p, q = q, k
-                if (p, q) not in nxt or total < nxt[p, q][0]:
-                    nxt[p, q] = (total, (said, show))
+        options = [(show, price, kinds_of(show)) for show, price in choices]
+        for state, (cost, said) in best.items():
+            for show, price, kinds in options:
+                at, total = state, cost + price
+                for k in kinds:
+                    at = at * KINDS + k
+                    total -= model[at]
+                    at %= KINDS * KINDS
+                if (old := nxt.get(at)) is None or total < old[0]:
+                    nxt[at] = (total, (said, show))
         best = nxt
     _, at = min(best.values(), key=lambda x: x[0])
     out = []
@@ -158,7 +172,7 @@ def bare(word: str, model: np.ndarray) -> list[str]:
 
 def restore_run(singles: list[str], model: np.ndarray) -> list[str]:
     """Words of a run of single characters: each blank is dropped or is a word boundary, whichever is likelier over the whole run."""
-    places: list = []
+    model, places = flat(model), []
     for c in singles:
         places += [[("", 0.0), (" ", 0.0)], [(c, COST["same"])] + [(x, COST["leet"]) for x in LEET.get(c, "")]]
     said = [w for x in viterbi(places[1:], model).split(" ") if (w := plain(x))]
@@ -175,26 +189,41 @@ def plain(word: str) -> str:
 
 @dataclass
 class Restorer:
-    """Restored form of words, kept for the words seen before (a cache that is emptied when full)."""
+    """Restored form of words, kept for the words seen before (a cache that is emptied when full).
+
+    ``begins``: the first two letters that matter to the caller. Letters stand for themselves in every reading, so a word that
+    opens with two other ones has no reading that matters and stays as it is.
+    """
 
     model: np.ndarray
     most: int = 100_000
+    begins: set | None = None
     known: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.model = flat(self.model)
+
     def __call__(self, word: str) -> str:
         word = plain(word)
         return plain(restore(word, self.model)) if SUSPECT.search(word) else word
 
     def readings(self, word: str) -> str:
-        """The restored word and, where they differ, the words that ``bare`` reads, with blanks between them."""
+        """The restored word and, where they differ, the words that ``bare`` reads and those of its parts between punctuation, with blanks between them."""
         word = word.lower()
-        if not MAYBE.search(word):
+        core = OUTSIDE.sub("", word)
+        if not MAYBE.search(core):
+            if GLUE.search(core):
+                return " ".join(x for x in dict.fromkeys(map(plain, [core, *GLUE.split(core)])) if x)
+            return plain(word)
+        if self.begins is not None and core[:1] != core[1:2] and core[:2].isalpha() and core[:2] not in self.begins and not GLUE.search(core):
             return plain(word)
-        if (out := self.known.get(word)) is None:
+        if (out := self.known.get(core)) is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            both = [self(word)] if NO_WORD.search(word) else [self(word), *map(plain, bare(word, self.model))]
-            out = self.known[word] = " ".join(x for x in dict.fromkeys(both) if x)
+            both = [self(core)] if NO_WORD.search(core) else [self(core), *map(plain, bare(core, self.model))]
+            if len(parts := [x for x in GLUE.split(core) if x]) > 1:
+                both += [x for part in parts for x in self.readings(part).split(" ")]
+            out = self.known[core] = " ".join(x for x in dict.fromkeys(both) if x)
         return out
 
 
@@ -249,11 +278,29 @@ class Model:
     heat: float = 1.0
 
     def evidence(self, col: pa.Array, restorer: Restorer) -> np.ndarray:
-        """Five figures of each text: toxic words, their share, the largest weight, the sum of weights, whether there is one."""
-        codes, offsets, words = restored(col, restorer)
+        return self.figures(*restored(col, restorer))
+
+    def figures(self, codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> np.ndarray:
+        """Five figures of each text: toxic words, their share, the largest weight, the sum of weights, whether there is one.
+
+        A blank between two short pieces may stand inside a word: where both together are a word with a weight of its own, the
+        first piece has it.
+        """
         get = self.weight.get
-        w = np.array([max([get(f, 0.0) for f in names_of(x)]) if x else 0.0 for x in words], dtype=np.float64)
+        # a word with a weight begins like a feature with one
+        starts = {f.removeprefix("=")[:3] for f in self.weight}
+        near = [x[:3] in starts or (" " in x and any(r[:3] in starts for r in x.split(" "))) for x in words]
+        w = np.array([max([get(f, 0.0) for f in names_of(x)]) if x and some else 0.0 for x, some in zip(words, near)], dtype=np.float64)
         v = w[codes] if len(codes) else np.zeros(0)
+        short = np.array([0 < len(x) <= PIECE and x.isalpha() for x in words], dtype=bool)
+        if len(codes) > 1 and short.any():
+            both = short[codes[:-1]] & short[codes[1:]]
+            both[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(codes))] - 1] = False  # not across texts
+            at = np.flatnonzero(both)
+            pairs, of = np.unique(codes[at] * len(words) + codes[at + 1], return_inverse=True)
+            joint = np.array([get("=" + words[p // len(words)] + words[p % len(words)], 0.0) for p in pairs.tolist()], dtype=np.float64)
+            if len(at):
+                v[at] = np.maximum(v[at], joint[of])
         n = np.diff(offsets)
         hits, total, top = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
         some = np.flatnonzero(n)
@@ -263,7 +310,7 @@ class Model:
         return np.column_stack((np.log1p(hits), np.log1p(1000 * hits / np.maximum(n, 1)), top, np.log1p(total), hits > 0)).astype(np.float64)
 
     def scorer(self):
-        restorer = Restorer(self.characters)
+        restorer = Restorer(self.characters, begins={f.removeprefix("=")[:2] for f in self.weight})
         return lambda col: np.clip(sigmoid(((self.evidence(col, restorer) - self.shift) / self.scale @ self.beta + self.bias) / self.heat), 0.0, 1.0)
 
 
@@ -301,16 +348,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndar
     return beta[:-1], float(beta[-1])
 
 
-def exact(rows: DataFrame, chars: np.ndarray, chosen: np.ndarray, totals: tuple[int, int]) -> dict[str, float]:
+def readings_of(rows: DataFrame, chars: np.ndarray) -> DataFrame:
+    """``label, sizes, words``: the readings of every word of the sample's texts, restored once; the words of a slice of texts stand
+    behind each other as codes into its distinct readings."""
+    schema = pa.schema([("labels", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+
+    def run(batches):
+        restorer = Restorer(chars)
+        for part in slices(batches, rows=512, size=1 << 20):
+            codes, offsets, words = restored(texts(part), restorer)
+            yield batch_of(schema, pa.array([part.column(1).to_pylist()], pa.list_(pa.int32())), pa.array([np.diff(offsets).tolist()], pa.list_(pa.int64())), [codes.astype("<i8").tobytes()], pa.array([words], pa.list_(pa.string())))
+
+    return checkpointed(rows.mapInArrow(run, "labels array<int>, sizes array<long>, codes binary, words array<string>"))
+
+
+def slices_of(batches):
+    """Labels, codes, offsets and readings of the stored slices."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield r["labels"], np.frombuffer(r["codes"], "<i8"), np.concatenate(([0], np.cumsum(r["sizes"]))).astype(np.int64), r["words"]
+
+
+def exact(rows: DataFrame, chosen: np.ndarray, totals: tuple[int, int]) -> dict[str, float]:
     """The features behind the chosen buckets, counted by themselves, so that no innocent word shares a bucket with a toxic one."""
     schema = pa.schema([("label", pa.int32()), ("name", pa.string()), ("n", pa.int64())])
 
     def count(batches):
-        restorer, total = Restorer(chars), ({}, {})
-        for part in slices(batches, size=4 << 20):
-            codes, offsets, words = restored(texts(part), restorer)
+        total = ({}, {})
+        for labels, codes, offsets, words in slices_of(batches):
             lists = [[f for f in names_of(w) if chosen[bucket(f)]] if w else [] for w in words]
-            for y, a, b in zip(part.column(1).to_pylist(), offsets[:-1], offsets[1:]):
+            for y, a, b in zip(labels, offsets[:-1], offsets[1:]):
                 for f in {f for c in set(codes[a:b].tolist()) for f in lists[c]}:
                     total[y][f] = total[y].get(f, 0) + 1
         for y in range(2):
@@ -330,18 +397,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     and then by Spark. Without labels or with one class every text gets the smoothed share of label 1.
     """
     chars = character_model(docs, text)
-    rows = sample(docs, labels, label, usable, sample_rows, key, text)
+    rows = readings_of(sample(docs, labels, label, usable, sample_rows, key, text), chars)
     schema = pa.schema([("label", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        restorer, total, docs_of = Restorer(chars), np.zeros((2, BUCKETS), dtype=np.int64), [0, 0]
-        for part in slices(batches, size=4 << 20):
-            codes, offsets, words = restored(texts(part), restorer)
+        total, docs_of = np.zeros((2, BUCKETS), dtype=np.int64), [0, 0]
+        for labels_, codes, offsets, words in slices_of(batches):
             lists = [[bucket(f) for f in names_of(w)] if w else [] for w in words]
             size = np.array([len(x) for x in lists], dtype=np.int64)
             flat = np.array([f for x in lists for f in x], dtype=np.int64)
             first = np.cumsum(size) - size
-            for y, a, b in zip(part.column(1).to_pylist(), offsets[:-1], offsets[1:]):
+            for y, a, b in zip(labels_, offsets[:-1], offsets[1:]):
                 docs_of[y] += 1
                 own = np.unique(codes[a:b])
                 total[y, np.unique(flat[spread(first[own], size[own])])] += 1
@@ -363,14 +429,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     clean, toxic = (got[c].to_numpy(dtype=np.float64) for c in "ab")
     chosen = np.zeros(BUCKETS, dtype=bool)
     chosen[got.bucket.to_numpy(dtype=np.int64)[odds(clean, toxic, n) > 0]] = True
-    learned = Model(chars, exact(rows, chars, chosen, n), flat.shift, flat.scale, flat.beta, flat.bias)
+    learned = Model(chars, exact(rows, chosen, n), flat.shift, flat.scale, flat.beta, flat.bias)
     names = [f"e{k}" for k in range(5)]
     shape = pa.schema([("label", pa.int32()), *((c, pa.float64()) for c in names)])
 
     def figures(batches):
-        restorer = Restorer(chars)
-        for part in slices(batches, size=4 << 20):
-            yield batch_of(shape, part.column(1).cast(pa.int32()), *learned.evidence(texts(part), restorer).T)
+        for labels_, codes, offsets, words in slices_of(batches):
+            yield batch_of(shape, labels_, *learned.figures(codes, offsets, words).T)
 
     table = rows.mapInArrow(figures, "label int, " + ", ".join(f"{c} double" for c in names)).toArrow().to_pandas().sort_values(names + ["label"])
     x, y = table[names].to_numpy(dtype=np.float64), table["label"].to_numpy(dtype=np.float64)

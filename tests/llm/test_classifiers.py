@@ -133,3 +133,32 @@ def test_toxic_words_in_disguise(spark):
     new = [text(30) + " " + w + " " + text(30) for w in ("1d10t", "idiooot", "i d i o t", "IDIOT!")] + [text(60) for _ in range(4)] + ["", None]
     got = [x.p for x in toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(new)], "doc_id long, text string"), model, "p").orderBy("doc_id").collect()]
     assert min(got[:4]) > 0.5 > max(got[4:])
+
+
+def test_words_cut_by_blanks_or_glued_by_signs():
+    """A blank inside a word and a sign between two words: the weight of the whole word counts for its pieces."""
+    restorer = toxicity.Restorer(characters("such a moron you idiot river stone of the and".split()))
+    model = toxicity.Model(restorer.model, {"=moron": 5.0, "=idiot": 4.0}, np.zeros(5), np.ones(5), np.ones(5), 0.0)
+    texts = ["such a mo ron", "id iot you", "idi0t,you river", "mo", "river stone", "ron mo", "moron;stone", ""]
+    top = model.evidence(pa.array(texts), restorer)[:, 2].tolist()
+    assert top == [5.0, 4.0, 4.0, 0.0, 0.0, 0.0, 5.0, 0.0]
+    assert model.evidence(pa.array(["mo", "ron"]), restorer)[:, 2].tolist() == [0.0, 0.0]  # never across texts
+    assert {"idiot", "you"} <= set(restorer.readings("idi0t,you").split())
+
+
+def test_words_that_cannot_matter_are_left_out_without_a_difference():
+    import pyarrow.parquet as pq
+
+    texts = pa.array([*pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:400], "iidiioott", "tr@@sh", "lleetter", "i.d.i.o.t", "sstone", "the m0r0n,idiot"], pa.string()).fill_null("")
+    chars = characters("idiot moron trash letter stone river the of and".split())
+    model = toxicity.Model(chars, {"=idiot": 4.0, "idi": 2.0, "=moron": 5.0, "tras": 3.0, "=worthless": 2.0, "wort": 1.0}, np.zeros(5), np.ones(5), np.ones(5), 0.0)
+    begins = {f.removeprefix("=")[:2] for f in model.weight}
+    every = model.evidence(texts, toxicity.Restorer(chars))
+    assert np.array_equal(every, model.evidence(texts, toxicity.Restorer(chars, begins=begins))) and every[:, 4].sum() > 5
+
+
+def test_a_taken_name_is_told(spark):
+    from paperloom.llm.labelled import with_score
+
+    with pytest.raises(ValueError):
+        with_score(spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, Score double"), "score", lambda: None)
