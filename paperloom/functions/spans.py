@@ -20,11 +20,21 @@ def _fold(hits: Column, gaps: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
+# Private characters that stand around a match; a text that holds them is read with a substitute of the same length.
+OPEN, CLOSE, SUBSTITUTE = "\ue000", "\ue001", "\ufffd"
+
+
 def match_spans(df: DataFrame, text: str, pattern: str, alias: str = "spans") -> DataFrame:
-    """Add ``array<struct<value,start,end>>`` of all matches. Meant for sparse matches (mail addresses, identifiers)."""
-    staged = df.withColumn("__hits", F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).withColumn(
-        "__gaps", F.split(F.col(text), pattern, -1))
-    return staged.withColumn(alias, _fold(F.col("__hits"), F.col("__gaps"))).drop("__hits", "__gaps")
+    """Add ``array<struct<value,start,end>>`` of all matches, none of them empty. Meant for sparse matches (mail addresses, identifiers).
+
+    The pattern runs over a text once: matches are put between two marks, and the text is cut there into gaps and matches in turn.
+    """
+    shown = F.translate(F.col(text), OPEN + CLOSE, SUBSTITUTE * 2)
+    staged = df.withColumn("__parts", F.split(F.regexp_replace(shown, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1))
+    gaps, hits = F.filter("__parts", lambda _, i: i % 2 == 0), F.filter("__parts", lambda _, i: i % 2 == 1)
+    found = _fold(hits, gaps)
+    exact = F.transform(found, lambda h: F.struct(F.substring(F.col(text), h["start"] + 1, h["end"] - h["start"]).alias("value"), h["start"].alias("start"), h["end"].alias("end")))
+    return staged.withColumn(alias, F.when(shown == F.col(text), found).otherwise(exact)).drop("__parts")
 
 
 def explode_spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
