@@ -52,25 +52,26 @@ def bucket_join(left: DataFrame, right: DataFrame, page: list[str], step: float,
 
     Grids of cells ``step``, ``2 step``, ``4 step``, ... lie over a page. A box is at home on the first level whose cells are no smaller
     than its longer side, so it touches four of them at most, and it looks into the levels above at which the other side has
-    boxes on its page. A pair meets on the level of its larger box, in the cell of its upper-left common corner; boxes that
-    only look never meet each other. So one page-sized box meets a million small ones in a single cell of its own level,
-    and the small ones meet in theirs.
+    boxes at all. A pair meets on the level of its larger box, in the cell of its upper-left common corner; boxes that only
+    look never meet each other. So one page-sized box meets a million small ones in a single cell of its own level, and the
+    small ones meet in theirs. The levels in use are a handful of numbers, one for each power of two between the sizes.
     """
     def level(p):
         longer = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"))
         return F.when(longer > step, F.ceil(F.log2(longer / step))).otherwise(0).cast("int")
 
     def levels(df, p):
-        return df.groupBy(*page).agg(F.collect_set(level(p)).alias("__levels"))  # as many as sizes have powers of two
+        return sorted(r[0] for r in df.select(level(p).alias("lv")).distinct().collect())
 
     def listed(df, p, other, meets):
         """A row for each level, cell and kind of meeting; ``meets`` names the kinds for boxes at home and for those that look."""
         own = level(p)
-        d = df.join(other, page).withColumn("__lv", F.explode(F.array_union(F.array(own), F.filter("__levels", lambda x: x > own))))
+        above = F.filter(F.array(*map(F.lit, other)).cast("array<int>"), lambda x: x > own)
+        d = df.withColumn("__lv", F.explode(F.array_union(F.array(own), above)))
         d = d.withColumn("__kind", F.explode(F.when(F.col("__lv") == own, F.array(*map(F.lit, meets[0]))).otherwise(F.array(*map(F.lit, meets[1])))))
         size = step * F.pow(F.lit(2.0), F.col("__lv"))
         cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"{p}{c}0") / size), F.floor(F.col(f"{p}{c}1") / size)))
-        return d.withColumn("__gx", cells("x")).withColumn("__gy", cells("y")).drop("__levels")
+        return d.withColumn("__gx", cells("x")).withColumn("__gy", cells("y"))
 
     lb, rb = corners(left_box), corners(right_box)
     # a left box at home meets every right one ("h"), one that looks meets those at home ("u")

@@ -192,7 +192,10 @@ def geometry_match(left: DataFrame, right: DataFrame, keys: list[str], y: str, t
 
     Both sides carry ``id, text`` and the keys.
     """
-    p = within(left, right, keys, y, tol).withColumn("sim", similarity(F.col("text"), F.col("r_text")))
+    near = checkpointed(within(left, right, keys, y, tol))
+    # a pair of texts is compared once, however many lines show it
+    alike = near.select("text", "r_text").distinct().withColumn("sim", similarity(F.col("text"), F.col("r_text")))
+    p = near.join(alike, (near["text"].eqNullSafe(alike["text"])) & (near["r_text"].eqNullSafe(alike["r_text"]))).drop(alike["text"]).drop(alike["r_text"])
     best = p.groupBy(*keys, "id").agg(F.max_by(F.struct("r_id", "sim"), F.struct("sim", -F.abs(F.col(y) - F.col("r_" + y)), -F.col("r_id"))).alias("b"))
     got = best.select(*keys, "id", F.col("b.r_id").alias("r_id"), F.col("b.sim").alias("sim"), F.lit(False).alias("fallback"))
     rest = left.join(best.select(*keys, "id"), [*keys, "id"], "left_anti")

@@ -158,3 +158,14 @@ def test_user_fold_of_a_hot_key_has_no_long_array(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert longest <= 1000
     assert fold.by(rows.limit(0), ["k", "j"], F.struct(F.lit(1).cast("bigint").alias("n"), F.col("v").alias("s"))).count() == 0
+
+
+def test_spans_of_one_pass(spark):
+    import re
+
+    from paperloom.functions.spans import match_spans
+
+    texts = ["a1 bb22 c333", "", "none", "12", "x7 8�9", "é1🎉22", None, "1\n2 $3"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.spans and [(x.value, x.start, x.end) for x in r.spans] for r in match_spans(d, "t", "[0-9]+").collect()}
+    assert {k: v or None for k, v in got.items()} == {i: [(m[0], m.start(), m.end()) for m in re.finditer("[0-9]+", t or "")] or None for i, t in enumerate(texts)}
