@@ -14,6 +14,11 @@ LETTERS = r"\p{L}+"
 ROMAN = r"^[IVXLCDM]+$"
 
 
+def code_point(n: Column) -> Column:
+    """The character at a Unicode code point; Spark's ``char`` starts anew at 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
 def accent_table(first: int = 0x00C0, last: int = 0x017F) -> tuple[str, str]:
     """Accented Latin letters and their base letters, derived from the Unicode decomposition."""
     src, dst = [], []

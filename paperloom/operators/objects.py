@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.latex import INLINE_MATH
 from paperloom.functions.spans import explode_spans, pieces
+from paperloom.functions.text import code_point
 from paperloom.operators.scan import ordered_scan, ordered_text
 
 # Prose line types, list marks, strong bullets, heads that keep their hyphen, section levels.
@@ -376,7 +377,7 @@ def reference_entries(lines: DataFrame, key: str, order: str, chunk) -> DataFram
     n = F.row_number().over(Window.partitionBy(key, "__k").orderBy("entry"))
     return e.withColumn("__n", n).select(
         key, "entry", F.coalesce(lead, F.col("entry").cast("int")).alias("number"), "raw_text", "year", "author",
-        F.concat("__k", F.when(F.col("__n") > 1, F.char(96 + F.col("__n"))).otherwise("")).alias("citekey"))
+        F.concat("__k", F.when(F.col("__n") > 1, code_point(96 + F.col("__n"))).otherwise("")).alias("citekey"))
 
 
 def caption_parts(s: Column) -> Column:

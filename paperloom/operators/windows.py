@@ -86,7 +86,7 @@ def fractal_index(sections: DataFrame, doc: str, order: str, chunk: Column | Non
     parts = []
     for i in places:
         n = F.col(f"__c{i}") - F.coalesce(F.col(f"__b{i}"), F.lit(0))
-        label = F.when((F.col("__app") == 1) & F.lit(i == 0), F.char(64 + n)).otherwise(n.cast("string"))
+        label = F.when((F.col("__app") == 1) & F.lit(i == 0), T.code_point(64 + n)).otherwise(n.cast("string"))
         parts.append(F.when(F.lit(i) < F.col("__rel"), label))
     return d.select(*sections.columns, F.concat_ws(".", *parts).alias("index"))
 
@@ -329,4 +329,4 @@ def out_of_column(lines: DataFrame, body: DataFrame, page: list[str], tol: float
 def letter_duplicates(entries: DataFrame, keys: list[str], order: str, chunk: Column, key: str = "citekey") -> DataFrame:
     """Repeated keys get the letters b, c, ... in entry order."""
     d = ordered_scan(entries, [*keys, key], [order], chunk, row_number="__i")
-    return d.withColumn("unique_key", F.concat(F.col(key), F.when(F.col("__i") > 1, F.char(96 + F.col("__i"))).otherwise(""))).drop("__i")
+    return d.withColumn("unique_key", F.concat(F.col(key), F.when(F.col("__i") > 1, T.code_point(96 + F.col("__i"))).otherwise(""))).drop("__i")
