@@ -508,7 +508,7 @@ def fx_attribution(t):
         F.min(F.when(F.col("role") == "body", F.col("event_id"))).alias("first_body"))
 
 
-MARGIN_TEXT = """CASE event_type WHEN 'error' THEN 'Seite 2 von 3' WHEN 'click' THEN 'Nr ' || CAST(100000 + event_id AS STRING) WHEN 'view' THEN CAST(user_id AS STRING) WHEN 'purchase' THEN 'Werk' ELSE '-' END"""
+MARGIN_TEXT = """CASE event_type WHEN 'error' THEN 'Seite 2 von 3' WHEN 'click' THEN 'Nr ' || CAST(100000 + event_id AS STRING) WHEN 'view' THEN CAST(user_id % 10000 AS STRING) WHEN 'purchase' THEN 'Werk' ELSE '-' END"""
 
 
 @query("fx_margin_role", """SELECT event_id, CASE event_type WHEN 'error' THEN 'continuity' WHEN 'click' THEN 'control_number' WHEN 'view' THEN 'page_number' WHEN 'purchase' THEN 'label' ELSE 'marginal' END AS role,
