@@ -201,10 +201,11 @@ def out_latex_simple(t):
 def out_theorems(t):
     body = F.struct("l_suppkey", "l_quantity", "l_returnflag")
     li = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min(body).alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
-    pos = F.col("l_linenumber") * 100000 + F.col("l_partkey")
+    pos = F.struct("l_linenumber", "l_partkey")  # l_linenumber * 100000 + l_partkey is not unique beyond 100,000 parts
     none = F.lit(None).cast("string")
     th = li.select("l_orderkey", pos.alias("pos"), F.lit("theorem").alias("kind"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(F.lit("lab"), F.col("l_partkey").cast("string"))).alias("label"),
-                   F.col("l_linenumber").alias("number"), F.lit("s").alias("text"), F.lit(None).cast("bigint").alias("proves"))
-    pf = li.where("l_quantity > 25").select("l_orderkey", (pos + 1).alias("pos"), F.lit("proof").alias("kind"), none.alias("label"), F.lit(None).cast("int").alias("number"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("text"), pos.alias("proves"))
-    return O.theorems(th.unionByName(pf), "l_orderkey").select("l_orderkey", "pos", "name", "proof")
+                   F.col("l_linenumber").alias("number"), F.lit("s").alias("text"), F.when(F.lit(False), pos).alias("proves"))
+    pf = li.where("l_quantity > 25").select("l_orderkey", pos.alias("pos"), F.lit("proof").alias("kind"), none.alias("label"), F.lit(None).cast("int").alias("number"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("text"), pos.alias("proves"))
+    d = O.theorems(th.unionByName(pf), "l_orderkey")
+    return d.select("l_orderkey", F.expr("pos.l_linenumber * 100000 + pos.l_partkey").alias("pos"), "name", "proof")
 
