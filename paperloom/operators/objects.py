@@ -307,13 +307,16 @@ def font_runs(glyphs: DataFrame, key: list[str], order: str, chunk, style: list[
     return ordered_text(d, key + ["run"], [order], "__piece", "", "text", [F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), *[F.first(c).alias(c) for c in style]])
 
 
-def reading_rows(glyphs: DataFrame, group: list[str], factor: float = 0.8) -> DataFrame:
+def reading_rows(glyphs: DataFrame, group: list[str], factor: float = 0.8, centre: Column | None = None, height: Column | None = None) -> DataFrame:
     """Row number of glyphs in a box: clustered on the vertical centre of the row's first member.
 
+    Centre and height follow from ``top`` and ``bottom`` unless they are given; a centre found from rounded edges may be off in
+    its last digit, which decides where two centres lie exactly the tolerance apart.
     The fold runs over the distinct centres of one formula box, a bounded group.
     """
-    c = (F.col("top") + F.col("bottom")) / 2.0
-    hs = glyphs.groupBy(*group).agg(F.array_sort(F.collect_list(F.col("bottom") - F.col("top"))).alias("__h"), F.array_sort(F.collect_set(c)).alias("__c"))
+    c = (F.col("top") + F.col("bottom")) / 2.0 if centre is None else centre
+    h = F.col("bottom") - F.col("top") if height is None else height
+    hs = glyphs.groupBy(*group).agg(F.array_sort(F.collect_list(h)).alias("__h"), F.array_sort(F.collect_set(c)).alias("__c"))
     hs = hs.withColumn("tol", F.get("__h", F.floor(F.size("__h") / 2).cast("int")) * factor)
     zero = F.struct(F.lit(None).cast("double").alias("a"), F.lit(0).alias("row"), F.expr("CAST(array() AS array<struct<c:double,row:int>>)").alias("out"))
 
