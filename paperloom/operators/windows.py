@@ -207,12 +207,22 @@ def page_side(parity: Column, position: Column, column: Column) -> Column:
 
 
 def alternate(pages: DataFrame, doc: str, order: str, chunk: Column) -> DataFrame:
-    """Repair sides by the alternating phase with most confidence. Strong pages keep theirs; the old side stays."""
+    """Repair sides by the alternating phase with most confidence. Strong pages keep theirs; the old side stays.
+
+    Sums of either phase do not depend on the order of addition unless they are equal but for rounding. Only documents of that kind are
+    summed again in page order, so that the same phase wins in every run.
+    """
     d = ordered_scan(pages, [doc], [order], chunk, row_number="__i")
     even = (F.col("__i") - 1) % 2 == 0
     zero = F.when(even, "recto").otherwise("verso")
     p = d.where("side IS NOT NULL").groupBy(doc).agg(
         F.sum(F.when(F.col("side") == zero, F.col("confidence")).otherwise(0.0)).alias("__s0"), F.sum(F.when(F.col("side") != zero, F.col("confidence")).otherwise(0.0)).alias("__s1"))
+    close = (F.abs(F.col("__s0") - F.col("__s1")) <= 1e-9 * F.greatest("__s0", "__s1")) & (F.greatest("__s0", "__s1") > 0)
+    tied = d.where("side IS NOT NULL").join(p.where(close).select(doc), doc, "left_semi")
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = tied.select(doc, "__i", *[F.sum(F.when(hit, F.col("confidence")).otherwise(0.0)).over(w).alias(s) for s, hit in (("__t0", F.col("side") == zero), ("__t1", F.col("side") != zero))])
+    again = summed.groupBy(doc).agg(F.max_by("__t0", "__i").alias("__t0"), F.max_by("__t1", "__i").alias("__t1"))
+    p = p.join(again, doc, "left").select(doc, F.coalesce("__t0", "__s0").alias("__s0"), F.coalesce("__t1", "__s1").alias("__s1"))
     d = d.join(p, doc, "left")
     expected = F.when(F.col("__s0") >= F.col("__s1"), zero).otherwise(F.when(even, "verso").otherwise("recto"))
     support = F.round(F.abs(F.col("__s0") - F.col("__s1")), 9)
