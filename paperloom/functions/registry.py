@@ -220,19 +220,22 @@ class Detectors:
         return out
 
 
-def annotate(sentences: DataFrame, key: list[str], text: str, load: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]] | None]) -> DataFrame:
-    """Token annotations by a model that each worker loads once; without a model there are no rows."""
+def annotate(sentences: DataFrame, key: list[str], text: str, load: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]] | None], rows: int = 256) -> DataFrame:
+    """Token annotations by a model that each worker loads once; without a model there are no rows.
+
+    The model gets at most ``rows`` sentences of a batch at once, so a worker holds the tokens of those.
+    """
     fields = [sentences.schema[k] for k in key]
     schema = T.StructType([*fields, T.StructField("token_no", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("tag", T.StringType())])
 
     def run(batches):
         model = load()
         for pdf in batches:
-            rows = []
-            if model is not None:
-                for head, toks in zip(pdf[key].itertuples(index=False, name=None), model(pdf[text].tolist())):
-                    rows += [(*head, i, tok, tag) for i, (tok, tag) in enumerate(toks)]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+            for at in range(0, len(pdf) if model is not None else 0, rows):
+                part, out = pdf.iloc[at:at + rows], []
+                for head, toks in zip(part[key].itertuples(index=False, name=None), model(part[text].tolist())):
+                    out += [(*head, i, tok, tag) for i, (tok, tag) in enumerate(toks)]
+                yield pd.DataFrame(out, columns=[f.name for f in schema])
 
     return sentences.select(*key, text).mapInPandas(run, schema)
 
