@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import latex as L
 from paperloom.functions import quantity as Q
 from paperloom.operators.scan import ordered_scan
+from paperloom.session import spread
 
 # Predicate signatures of the graph. Group names stand for sets of types.
 GROUPS = {
@@ -145,10 +146,12 @@ def orphans(records: DataFrame, referenced: DataFrame) -> DataFrame:
 def reading_scores(readings: DataFrame, key: str, gold: str, candidate: str, source: str, confidence: str, low: float = 0.75, low_conf: float = 0.6, high: float = 0.9) -> DataFrame:
     """Agreement of the readings of an equation: mean, corroboration by two strong ones, flags.
 
-    Agreement is the edit form of the similarity over the comparison form of the LaTeX.
+    Agreement is the edit form of the similarity over the comparison form of the LaTeX. It costs far more than reading, so the rows
+    of a small file are spread over the task slots first.
     """
-    sim = F.round(L.edit_similarity(L.normal_form(F.col(gold)), L.normal_form(F.col(candidate))), 3)
-    d = readings.withColumn("__s", F.when(F.coalesce(candidate, F.lit("")) != "", sim))
+    # the forms are columns of their own, so that each is computed once and not for every use in the similarity
+    forms = spread(readings).withColumns({"__a": L.normal_form(F.col(gold)), "__b": L.normal_form(F.col(candidate))})
+    d = forms.withColumn("__s", F.when(F.coalesce(candidate, F.lit("")) != "", F.round(L.edit_similarity(F.col("__a"), F.col("__b")), 3)))
     a = d.groupBy(key).agg(F.round(F.avg("__s"), 3).alias("mean_agreement"), F.count_if(F.col("__s") >= high).alias("__h"),
                            F.round(F.max(F.when(F.col(source) == "snip", F.col(confidence))), 3).alias("confidence"), F.count("*").alias("__n"))
     corroborated = F.col("__h") >= 2
