@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.spans import match_spans
+from paperloom.session import spread
 
 BRACED = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
 
@@ -178,9 +179,10 @@ LATEX_PARTS = [
 def latex_parts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Parts of LaTeX source with their offset: sections, equations, graphics, abstract, algorithms, theorems, proofs.
 
-    All kinds are found in one projection of the text, which is read and freed of comments once.
+    All kinds are found in one projection of the text, which is read and freed of comments once. Patterns cost far more than reading,
+    so texts of a small file are spread over the task slots first.
     """
-    body = texts.select(key, strip_comments(F.col(text)).alias("__b"))
+    body = spread(texts).select(key, strip_comments(F.col(text)).alias("__b"))
     for i, (_kind, pat) in enumerate(LATEX_PARTS):
         body = match_spans(body, "__b", pat, f"__s{i}")
     tag = lambda i, kind: F.transform(f"__s{i}", lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("pos"), m["value"].alias("raw")))
