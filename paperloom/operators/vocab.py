@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import gram_rows
-from paperloom.session import stored
+from paperloom.session import stored, together
 
 PREFERRED, SYNONYM, PHRASE_BOOST = 1.0, 0.7, 1.3
 MAX_SCHEMES = 1000
@@ -27,11 +27,15 @@ def compile_index(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def concept_hits(texts: DataFrame, key: list[str], posting: DataFrame, idf: DataFrame) -> DataFrame:
-    """Score of every concept that shares a gram with a text; a gram counts once per text. ``key`` names one row of texts."""
+    """Score of every concept that shares a gram with a text; a gram counts once per text. ``key`` names one row of texts.
+
+    A text shares a frequent gram with many concepts, so texts are shuffled and not their hits: the rows of a key stand together before
+    they are exploded, and a fold or window by the key needs no exchange where the index is broadcast.
+    """
     index = posting.join(idf, ["scheme", "gram"]).select(
         "scheme", "gram", "code", (F.col("weight") * F.col("idf")).alias("s"), F.col("gram").contains(" ").alias("__p"))
     index = stored(index)
-    grams = gram_rows(texts, key, "text", distinct=True)
+    grams = gram_rows(together(texts.select(*key, "text"), key), key, "text", distinct=True)
     return grams.join(index, "gram").groupBy(*key, "scheme", "code").agg(
         F.sum("s").alias("score"), F.max("__p").alias("phrase"), F.count("*").alias("grams"))
 

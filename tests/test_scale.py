@@ -169,3 +169,19 @@ def test_spans_of_one_pass(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.spans and [(x.value, x.start, x.end) for x in r.spans] for r in match_spans(d, "t", "[0-9]+").collect()}
     assert {k: v or None for k, v in got.items()} == {i: [(m[0], m.start(), m.end()) for m in re.finditer("[0-9]+", t or "")] or None for i, t in enumerate(texts)}
+
+
+def test_concept_hits_shuffle_texts_and_not_hits(spark):
+    """Hits of a text are folded where the text is: after the explode comes no exchange, also not for the window of the votes."""
+    from paperloom.operators import aggregate as A
+    from paperloom.operators import vocab as V
+
+    concepts = spark.createDataFrame([("s", i, f"red apple tree {chr(97 + i % 26) * (2 + i // 26)}", True) for i in range(30)], "scheme string, code long, label string, preferred boolean")
+    texts = spark.createDataFrame([(d, p, "a red apple tree dd") for d in range(4) for p in range(5)], "doc_id long, pos long, text string")
+    hits = V.concept_hits(texts, ["doc_id", "pos"], *V.compile_index(concepts))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Exchange hashpartitioning" not in above and "REPARTITION_BY_NUM" in plan
+    assert hits.count() == 4 * 5 * 30 and {r.score for r in hits.where("code = 3").collect()} == {max(r.score for r in hits.collect())}
+    votes = A.segment_votes(hits.withColumn("score", F.round("score", 9)), ["doc_id", "pos"], "doc_id").collect()
+    assert {(r.doc_id, r.code, r.votes) for r in votes} == {(d, c, 5) for d in range(4) for c in (0, 1, 3)}
