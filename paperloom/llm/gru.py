@@ -15,17 +15,28 @@ COLUMNS = 512  # texts that a window of the training holds side by side
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * (F32(1) + np.tanh(F32(0.5) * x))
+    """In place."""
+    x *= F32(0.5)
+    np.tanh(x, out=x)
+    x *= F32(0.5)
+    x += F32(0.5)
+    return x
 
 
-def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log of the sum, by rows."""
-    top = x.max(axis=1, keepdims=True)
-    e = x - top
-    np.exp(e, out=e)
-    s = e.sum(axis=1, keepdims=True)
-    e /= s
-    return e, (np.log(s) + top)[:, 0]
+def exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """In place: exponentials, their sum by rows, and what a row was lowered by; rows within the range of floats stay as they are."""
+    top = 0.0
+    if not (x.max() < 60 and x.min() > -60):
+        top = x.max(axis=1, keepdims=True)
+        x -= top
+        top = top[:, 0]
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), top
+
+
+def by_value(x: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of numbers below ``n``; short integers are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
 
 
 @dataclass
@@ -43,82 +54,143 @@ class Gru:
     def members(self) -> int:
         return len(self.bo) // len(self.bc)
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the inputs and of the state, gate by gate."""
+        k = self.wh.shape[0]
+        wx, wh = (np.ascontiguousarray(w.reshape(-1, 3, k).transpose(1, 0, 2)) for w in (self.wx, self.wh))
+        return wx, wh
+
     def step(self, x: np.ndarray, h: np.ndarray):
-        k = h.shape[1]
-        gx, gh = self.wx[x], h @ self.wh
-        zr = sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        return n + z * (h - n), z, r, n, gh[:, 2 * k :]
-
-    def logs(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
-        """Natural log probability of each symbol; with ``grad`` also the gradients of the mean loss."""
-        m, cls = self.members, y // self.members
-        p, total = softmax(h @ self.wc + self.bc)
-        rows = np.arange(len(y))
-        out = np.log(np.maximum(p[rows, cls], F32(1e-30)))
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(len(self.bc) + 1))
-        if grad:
-            scale = F32(1 / len(y))
-            dc = p * scale
-            dc[rows, cls] -= scale
-            dh, g = dc @ self.wc.T, {"wc": h.T @ dc, "bc": dc.sum(axis=0), "wo": np.zeros_like(self.wo), "bo": np.zeros_like(self.bo)}
-        # rows by class: products class by class, everything else over all rows at once
-        by, own, some = h[order], y[order] % m, np.flatnonzero(np.diff(edge))
-        q = self.bo.reshape(-1, m)[cls[order]]
-        for c in some:
-            q[edge[c] : edge[c + 1]] += by[edge[c] : edge[c + 1]] @ self.wo[c * m : (c + 1) * m].T
-        q, _ = softmax(q)
-        out[order] += np.log(np.maximum(q[rows, own], F32(1e-30)))
-        if grad:
-            q *= scale
-            q[rows, own] -= scale
-            back = np.empty_like(by)
-            for c in some:
-                part = slice(edge[c], edge[c + 1])
-                np.matmul(q[part], self.wo[c * m : (c + 1) * m], out=back[part])
-                np.matmul(q[part].T, by[part], out=g["wo"][c * m : (c + 1) * m])
-            g["bo"].reshape(-1, m)[some] = np.add.reduceat(q, edge[some], axis=0)
-            dh[order] += back
-        return (out, dh, g) if grad else out
+        wx, wh = self.gates()
+        out, gx = np.empty_like(h), wx[:, x]
+        self.move(gx, wh, h, out)
+        return (out,)
+
+    @staticmethod
+    def move(g: np.ndarray, wh: np.ndarray, h: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """One step of the state from ``h`` to ``out``. ``g`` has the inputs of both gates and of the candidate and takes their
+        values; returns the candidate's share of the state."""
+        gh = np.matmul(h, wh)
+        g[:2] += gh[:2]
+        z, r = sigmoid(g[:2])
+        n = g[2]
+        np.multiply(r, gh[2], out=out)
+        n += out
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= z
+        out += n
+        return gh[2]
+
+    def by_class(self, h: np.ndarray, y: np.ndarray):
+        """Rows in the order of their targets' classes, a one behind each; logits of the classes and of the members."""
+        m, n, k = self.members, len(self.bc), h.shape[1]
+        cls = y // m
+        order = by_value(cls, n)
+        cls, own = cls[order], y[order] % m
+        edge = np.searchsorted(cls, np.arange(n + 1))
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        rows = np.empty((len(y), k + 1), h.dtype)
+        np.take(h, order, axis=0, out=rows[:, :k])
+        rows[:, k] = 1
+        p = rows @ np.vstack((self.wc, self.bc))
+        w = np.concatenate((self.wo, self.bo[:, None]), axis=1)
+        wt, q = w.reshape(n, m, k + 1).transpose(0, 2, 1), np.empty((len(y), m), h.dtype)
+        parts = [(c, slice(*edge[c : c + 2].tolist())) for c in some]
+        for c, part in parts:
+            np.matmul(rows[part], wt[c], out=q[part])
+        return order, cls, own, parts, rows, p, q, w
+
+    def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probability of each symbol."""
+        order, cls, own, _, _, p, q, _ = self.by_class(h, y)
+        at, total = np.arange(len(y)), 0.0
+        for x, where in ((p, cls), (q, own)):
+            picked = x[at, where]
+            _, s, top = exps(x)
+            total = total + np.maximum(picked - np.log(s) - top, F32(np.log(1e-30)))
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+    def loss(self, h: np.ndarray, y: np.ndarray):
+        """Gradients of the mean loss: of the states, and of the weights of classes and members."""
+        order, cls, own, parts, rows, p, q, w = self.by_class(h, y)
+        at, m, k = np.arange(len(y)), self.members, h.shape[1]
+        scale = h.dtype.type(1 / len(y))
+        for x, where in ((p, cls), (q, own)):
+            _, s, _ = exps(x)
+            x *= (scale / s)[:, None]
+            x[at, where] -= scale
+        gc, gw = rows.T @ p, np.zeros_like(w)
+        back = np.empty_like(rows)
+        for c, part in parts:
+            of = slice(c * m, (c + 1) * m)
+            np.matmul(q[part], w[of], out=back[part])
+            np.matmul(q[part].T, rows[part], out=gw[of])
+        d = p @ self.wc.T
+        d += back[:, :k]
+        dh = np.empty_like(d)
+        dh[order] = d
+        return dh, {"wc": gc[:k], "bc": gc[k], "wo": gw[:, :k], "bo": gw[:, k]}
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray):
         """One truncated window of shape (steps, streams): loss gradients and the state that the next window takes over."""
-        kept = []
-        for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            nxt, z, r, n, ghn = self.step(x[t], h)
-            kept.append((h, z, r, n, ghn, nxt))
-            h = nxt
+        (steps, streams), k = x.shape, h.shape[1]
+        wx, wh = self.gates()
+        g = np.take(wx, x.ravel(), axis=1).reshape(3, steps, streams, k)  # both gates and the candidate
+        keep = (~fresh).astype(h.dtype)[:, :, None]
+        was, states, ghn = (np.empty((steps, streams, k), h.dtype) for _ in range(3))
+        for t in range(steps):
+            np.multiply(h, keep[t], out=was[t])
+            ghn[t] = self.move(g[:, t], wh, was[t], states[t])
+            h = states[t]
         at = np.flatnonzero(live.ravel())
         if not len(at):
             return None, h
-        states = np.concatenate([k[5] for k in kept])
-        _, dh, g = self.logs(states[at], y.ravel()[at], True)
-        dout = np.zeros_like(states)
-        dout[at] = dh
-        dout = dout.reshape(len(x), -1, h.shape[1])
-        was, z, r, n, ghn = (np.stack([k[i] for k in kept]) for i in range(5))
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (was - n) * z * (1 - z), ghn * r * (1 - r)
-        k, back = h.shape[1], np.zeros_like(h)
-        dgh, dn = np.empty((len(x), h.shape[0], 3 * k), F32), np.empty_like(z)
-        for t in range(len(x) - 1, -1, -1):
-            d = dout[t] + back
-            np.multiply(d, by_n[t], out=dn[t])
-            np.multiply(d, by_z[t], out=dgh[t, :, :k])
-            np.multiply(dn[t], by_r[t], out=dgh[t, :, k : 2 * k])
-            np.multiply(dn[t], r[t], out=dgh[t, :, 2 * k :])
-            back = (d * z[t] + dgh[t] @ self.wh.T) * ~fresh[t][:, None]
-        g["wh"] = was.reshape(-1, k).T @ dgh.reshape(-1, 3 * k)
-        dgx = dgh.copy()
-        dgx[:, :, 2 * k :] = dn
-        g["wx"] = np.zeros_like(self.wx)
-        order = np.argsort(x.ravel(), kind="stable")
+        flat = states.reshape(-1, k)
+        full = len(at) == len(flat)
+        dh, grads = self.loss(flat if full else flat[at], y.ravel() if full else y.ravel()[at])
+        if not full:
+            part, dh = dh, np.zeros_like(flat)
+            dh[at] = part
+        dout = dh.reshape(steps, streams, k)
+        z, r, n = g
+        # what a change of the state moves: the candidate, its share of the state, both gates
+        d = np.empty((4, steps, streams, k), h.dtype)
+        by_z, by_r, by_g, by_n = d
+        np.multiply(n, n, out=by_n)
+        np.subtract(1, by_n, out=by_n)
+        was_n = np.subtract(was, n)
+        nz = np.subtract(1, z)
+        by_n *= nz
+        np.multiply(was_n, z, out=by_z)
+        by_z *= nz
+        np.subtract(1, r, out=nz)
+        np.multiply(ghn, r, out=by_r)
+        by_r *= nz
+        back, turned = np.zeros_like(h), np.ascontiguousarray(wh.transpose(0, 2, 1))
+        for t in range(steps - 1, -1, -1):
+            back += dout[t]
+            by_n[t] *= back
+            by_z[t] *= back
+            by_r[t] *= by_n[t]
+            np.multiply(by_n[t], r[t], out=by_g[t])
+            back *= z[t]
+            for part in np.matmul(d[:3, t], turned):
+                back += part
+            back *= keep[t]
+        gh = np.matmul(was.reshape(-1, k).T, d[:3].reshape(3, -1, k))
+        grads["wh"] = gh.transpose(1, 0, 2).reshape(k, 3 * k)
+        grads["wx"] = np.zeros_like(self.wx)
+        order = by_value(x.ravel(), len(self.wx))
         own = x.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        g["wx"][own[first]] = np.add.reduceat(dgx.reshape(-1, dgx.shape[2])[order], first, axis=0)
-        return g, h
+        rows = np.empty((len(order), 3, k), h.dtype)
+        for i, j in enumerate((0, 1, 3)):
+            rows[:, i] = d[j].reshape(-1, k)[order]
+        grads["wx"][own[first]] = np.add.reduceat(rows.reshape(-1, 3 * k), first, axis=0)
+        return grads, h
 
     def packed(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in NAMES]).astype(F32)
@@ -188,46 +260,59 @@ def score(net: Gru, symbols: np.ndarray, lengths: np.ndarray, most: int = 512, s
         return np.zeros(0)
     lay = Streams(lengths, most)
     lay.fill(symbols)
-    h, out = np.zeros((len(lay.loads), net.wh.shape[0]), F32), np.zeros(len(symbols))
-    for a in range(0, int(lay.loads[0]), steps):
-        states, where = [], []
-        for t in range(a, min(a + steps, int(lay.loads[0]))):
-            k = lay.live(t)
-            at = lay.starts[:k] + t
-            h = net.step(lay.x[at], h[:k] * ~lay.fresh[at][:, None])[0]
-            states.append(h)
-            where.append(at)
-        at = np.concatenate(where)
-        out[lay.places[at]] = net.logs(np.concatenate(states), lay.y[at])
+    k, (wx, wh) = net.wh.shape[0], net.gates()
+    h, out, end = np.zeros((len(lay.loads), k), F32), np.zeros(len(symbols)), int(lay.loads[0])
+    a = 0
+    while a < end:
+        # thin stretches take more steps at once, about as many rows as a full one
+        stop = min(a + max(steps, most * steps // lay.live(a)), end)
+        live = np.searchsorted(-lay.loads, -np.arange(a, stop), side="left")
+        at = np.concatenate([lay.starts[:n] + t for t, n in zip(range(a, stop), live.tolist())])
+        g, keep = np.take(wx, lay.x[at], axis=1), (~lay.fresh[at]).astype(F32)[:, None]
+        states, p = np.empty((len(at), k), F32), 0
+        for n in live.tolist():
+            rows = slice(p, p + n)
+            net.move(g[:, rows], wh, h[:n] * keep[rows], states[rows])
+            h, p = states[rows], p + n
+        out[lay.places[at]] = net.logs(states, lay.y[at])
+        a = stop
     return out
 
 
 class Adam:
-    def __init__(self, net: Gru, rate: float):
-        self.net, self.rate, self.n = net, rate, 0
-        self.m = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
-        self.v = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
+    """The weights of ``net`` become views of one array, which is moved in blocks that stay in the cache."""
+
+    def __init__(self, net: Gru, rate: float, block: int = 1 << 15):
+        self.rate, self.block, self.n, self.w = rate, block, 0, net.packed()
+        at = 0
+        for k in NAMES:
+            a = getattr(net, k)
+            setattr(net, k, self.w[at : at + a.size].reshape(a.shape))
+            at += a.size
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
 
     def apply(self, g: dict, share: float = 1.0) -> None:
-        """One step; ``share`` of its size, where the gradient comes from so much of a full window."""
+        """One step; ``share`` of its size, where the gradient comes from so much of a full window. ``m`` and ``v`` are kept as
+        10 and 100 times the means, so that a gradient is added as it is."""
         self.n += 1
-        size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-        cut, rate, full = F32(min(1.0, 1.0 / max(size, 1e-9))), F32(share * self.rate / (1 - 0.9**self.n)), F32((1 - 0.99**self.n) ** -0.5)
-        for k, x in g.items():
+        flat = np.concatenate([g[k].ravel() for k in NAMES])
+        cut = F32(min(1.0, 1.0 / max(float(np.vdot(flat, flat)) ** 0.5, 1e-9)))
+        full = (1 - 0.99**self.n) ** -0.5 / 10  # of the root of v
+        rate, least = F32(share * self.rate / (1 - 0.9**self.n) / 10 / full), F32(1e-6 / full)
+        for a in range(0, len(flat), self.block):
+            x, m, v = (y[a : a + self.block] for y in (flat, self.m, self.v))
             x *= cut
-            m, v = self.m[k], self.v[k]
+            x += F32(1e-18)  # far below what moves a weight: means that fade out do not become subnormal, which is slow
             m *= F32(0.9)
-            m += F32(0.1) * x
+            m += x
             x *= x
             v *= F32(0.99)
-            x *= F32(0.01)
             v += x
             np.sqrt(v, out=x)
-            x *= full
-            x += F32(1e-6)
+            x += least
             np.divide(m, x, out=x)
             x *= rate
-            getattr(self.net, k)[...] -= x
+            self.w[a : a + self.block] -= x
 
 
 def train(net: Gru, adam: Adam, symbols: np.ndarray, lengths: np.ndarray, most: int = COLUMNS, steps: int = 16) -> None:

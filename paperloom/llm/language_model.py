@@ -33,6 +33,22 @@ def short_keys(words: list[str]) -> list[str]:
     return [w if len(w) <= LONG // 4 or len(b := w.encode()) <= LONG else END + hashlib.md5(b).hexdigest() for w in words]
 
 
+def key_array(words: pa.Array) -> pa.Array:
+    """The same for a column of words."""
+    long = pc.greater(pc.binary_length(words), LONG)
+    if not pc.any(long, min_count=0).as_py():
+        return words
+    return pc.replace_with_mask(words, long, pa.array(short_keys(words.filter(long).to_pylist()), words.type))
+
+
+def first_bytes(words: pa.Array) -> np.ndarray:
+    """The first byte of each word; no word is empty."""
+    if not len(words):
+        return np.zeros(0, np.uint8)
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
+    return np.frombuffer(words.buffers()[2], np.uint8)[starts]
+
+
 def lowered(part: pa.RecordBatch) -> pa.Array:
     return pc.ascii_lower(texts(part))
 
@@ -124,8 +140,17 @@ class Model:
     scale: np.ndarray  # that share over the tokens of unlisted words, by first byte
 
     def symbols(self, words: list[str]) -> np.ndarray:
-        get, unknown = self.symbol.get, self.unknown
-        return np.array([s if (s := get(k)) is not None else unknown[w.encode("utf-8", "replace")[0]] for w, k in zip(words, short_keys(words))], dtype=np.int64)
+        return self.looked_up(pa.array(words, pa.string()), self.common.slice(0, len(self.symbol)))[2]
+
+    def looked_up(self, words: pa.Array, names: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Keys of the words, their places in ``names`` (-1: not there) and their symbols. The words with a symbol are the first of ``common``
+        and the first of ``symbol``."""
+        keys = key_array(words)
+        at = pc.fill_null(pc.index_in(keys, value_set=names), -1).to_numpy(zero_copy_only=False)
+        own, out = np.fromiter(self.symbol.values(), np.int64, len(self.symbol)), self.unknown[first_bytes(words)]
+        listed = np.flatnonzero((at >= 0) & (at < len(own)))
+        out[listed] = own[at[listed]]
+        return keys, at, out
 
 
 def with_ends(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +212,10 @@ def averaged(docs: DataFrame, model: Model, steps: int, rate: float) -> gru.Gru:
 
     def run(batches):
         net = model.net.unpacked(model.net.packed())
-        adam, seen = gru.Adam(net, rate), 0
+        adam, seen, frequent = gru.Adam(net, rate), 0, model.common.slice(0, len(model.symbol))
         for part in slices(batches, rows=8192, size=8 << 20):
             codes, offsets, words = split_words(lowered(part))
-            flat, lengths = with_ends(model.symbols(words.to_pylist())[codes], offsets, 0)
+            flat, lengths = with_ends(model.looked_up(words, frequent)[2][codes], offsets, 0)
             gru.train(net, adam, flat, lengths, steps=steps)
             seen += len(flat)
         if seen:
@@ -225,24 +250,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
     share = model.listed_share
 
     def run(batches):
-        table = dict(zip(model.common.to_pylist(), model.counts.tolist()))
         end_base = np.log10(end_count + 1) - floor
         for part in slices(batches, rows=8192, size=8 << 20):
             codes, offsets, words = split_words(lowered(part))
-            names = words.to_pylist()
-            keys = short_keys(names)
-            sym = model.symbols(names)
+            keys, place, sym = model.looked_up(words, model.common)
             flat, lengths = with_ends(sym[codes], offsets, 0)
             logs = gru.score(model.net, flat, lengths) / np.log(10)
             net = per_text(logs, np.concatenate(([0], np.cumsum(lengths))))
-            c = np.array([table.get(w, -1) for w in keys], dtype=np.int64)
-            inner = np.array([w in model.symbol for w in keys], dtype=bool)
+            inner = (place >= 0) & (place < len(model.symbol))
+            c = np.full(len(place), -1, np.int64)
+            c[place >= 0] = model.counts[place[place >= 0]]
             base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0) - floor, 0.0)
-            spell, scale = np.zeros(len(names)), np.zeros(len(names))
+            spell, scale = np.zeros(len(words)), np.zeros(len(words))
             some = np.flatnonzero(~inner)
             if len(some):
                 spell[some] = model.spell(words.take(pa.array(some)))
-                scale[some] = model.scale[[names[i].encode("utf-8", "replace")[0] for i in some]]
+                scale[some] = model.scale[first_bytes(words)[some]]
             with np.errstate(divide="ignore"):
                 mixed = np.where(inner, 0.0, np.log10(scale * np.maximum(c, 0) + (1 - share) * 10.0**spell))
             extra = np.where(c >= 0, np.where(c > 0, mixed, rest + spell), 0.0)
@@ -251,10 +274,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
             rare = c < 0
             at = np.flatnonzero(rare[codes])
             owner = np.repeat(np.arange(len(lengths)), np.diff(offsets))[at]
-            pair, n = np.unique(owner * max(len(names), 1) + codes[at], return_counts=True)
-            who, what = pair // max(len(names), 1), pair % max(len(names), 1)
+            pair, n = np.unique(owner * max(len(words), 1) + codes[at], return_counts=True)
+            who, what = pair // max(len(words), 1), pair % max(len(words), 1)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(lengths) + 1)), pa.int32()),
-                                             pa.StructArray.from_arrays([pa.array(keys, pa.string()).take(pa.array(what)), pa.array(n.astype(np.int64)), pa.array(spell[what]), pa.array(scale[what])], fields=list(schema.field("rare").type.value_type)))
+                                             pa.StructArray.from_arrays([keys.take(pa.array(what)), pa.array(n.astype(np.int64)), pa.array(spell[what]), pa.array(scale[what])], fields=list(schema.field("rare").type.value_type)))
             yield batch_of(schema, part.column(0), part.column(2), lengths, known.astype(np.int64) + (1 if end_count > 0 else 0), per_text(base[codes], offsets) + end_base, net + per_text(extra[codes], offsets), lists)
 
     rows = with_row_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, sql)

@@ -368,6 +368,38 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4, name
 
 
+def test_steps_without_gradient_leave_no_subnormal_means():
+    """They made a step four times as slow late in a slice."""
+    from paperloom.llm import gru
+
+    net = gru.initial(np.log(np.full(64, 1 / 64)), 8, 4)
+    adam, r = gru.Adam(net, 0.01), np.random.default_rng(4)
+    was = net.packed()
+    for i in range(1500):
+        adam.apply({k: r.normal(size=getattr(net, k).shape).astype(np.float32) * np.float32(i < 3) for k in gru.NAMES})
+        if i == 1000:
+            then = net.packed()
+    means = np.concatenate([np.concatenate([v.ravel() for v in x.values()]) if isinstance(x, dict) else x for x in (adam.m, adam.v)])
+    assert not ((means != 0) & (np.abs(means) < np.finfo(np.float32).tiny)).any()
+    assert not np.array_equal(was, then) and np.allclose(then, net.packed(), atol=1e-6)
+
+
+def test_thin_stretches_are_scored_together(monkeypatch):
+    """A long text beside a short one: as many rows at once as with all columns, and the same scores."""
+    from paperloom.llm import gru
+
+    net = gru.initial(np.log(np.full(64, 1 / 64)), 8, 4)
+    symbols, calls, logs = np.random.default_rng(5).integers(0, 64, 20_040), [], gru.Gru.logs
+    monkeypatch.setattr(gru.Gru, "logs", lambda self, h, y: calls.append(len(y)) or logs(self, h, y))
+    got = gru.score(net, symbols, np.array([20_000, 40]))
+    assert len(calls) <= 4 and max(calls) <= 512 * 32 and sum(calls) == 20_040
+    h, last = np.zeros((1, 4), np.float32), 0
+    for i, s in enumerate(symbols[:300]):
+        h = net.step(np.array([last]), h)[0]
+        assert abs(logs(net, h, np.array([s]))[0] - got[i]) < 1e-4
+        last = s
+
+
 def _mean(net, x, y, fresh, live):
     h, out = np.zeros((x.shape[1], net.wh.shape[0])), []
     for t in range(len(x)):
