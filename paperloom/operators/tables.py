@@ -35,13 +35,17 @@ def from_rects(rects: DataFrame, table: list[str], tol: float = 1.0) -> DataFram
 
 
 def header_rows(cells: DataFrame, table: list[str]) -> DataFrame:
-    """Number of header rows: through the first row after the leading rows that hold a column span."""
-    n = size(cells, table)
-    wide = cells.groupBy(*table, "row").agg(F.max(F.when(F.col("col_span") > 1, 1).otherwise(0)).alias("wide"))
-    rows = n.select(*table, "n_rows", "n_cols", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_rows") - 1, F.lit(0)))).alias("row"))
-    leaf = rows.join(wide, [*table, "row"], "left").where(F.coalesce("wide", F.lit(0)) == 0).groupBy(*table).agg(F.min("row").alias("__leaf"))
-    d = n.join(leaf, table, "left")
-    stop = F.least(F.coalesce("__leaf", F.col("n_rows")), F.greatest(F.col("n_rows") - 1, F.lit(0)))
+    """Number of header rows: through the first row after the leading rows that hold a column span.
+
+    A row leads if as many rows with a span stand up to it as its number asks for, so the cells are read once and nothing is joined.
+    """
+    wide = F.max(F.when((F.col("col_span") > 1) & (F.col("row") >= 0), 1).otherwise(0))
+    rows = cells.groupBy(*table, "row").agg(wide.alias("__wide"), F.max(F.col("row") + F.col("row_span")).alias("n_rows"), F.max(F.col("col") + F.col("col_span")).alias("n_cols"))
+    before = F.sum("__wide").over(Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lead = F.sum(F.when((F.col("__wide") == 1) & (F.col("__n") == F.col("row") + 1), 1).otherwise(0)).cast("int")
+    d = rows.withColumn("__n", before).groupBy(*table).agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), lead.alias("__leaf"))
+    last = F.greatest(F.col("n_rows") - 1, F.lit(0))
+    stop = F.least(F.when(F.col("__leaf") <= last, F.col("__leaf")).otherwise(F.col("n_rows")), last)
     return d.select(*table, "n_rows", "n_cols", F.least(stop + 1, F.greatest(F.col("n_rows") - 1, F.lit(1))).alias("header_rows"))
 
 
@@ -63,12 +67,19 @@ def grid(cells: DataFrame, table: list[str]) -> DataFrame:
 
 
 def check(cells: DataFrame, table: list[str], limits: DataFrame) -> DataFrame:
-    """Warnings: spans that leave the grid, and slots with several owners. ``limits``: table keys, n_rows, n_cols."""
+    """Warnings: spans that leave the grid, and slots with several owners. ``limits``: table keys, n_rows, n_cols.
+
+    A cell leaves its warning or its slots, so the cells are computed once; where they lie together by table, nothing is shuffled again.
+    """
     d = cells.join(limits, table)
     out = (F.col("row") + F.col("row_span") > F.col("n_rows")) | (F.col("col") + F.col("col_span") > F.col("n_cols"))
-    outside = d.where(out).select(*table, F.lit("outside").alias("code"), "row", "col", F.lit(1).cast("bigint").alias("n"))
-    over = slots(d.where(~out)).groupBy(*table, F.col("r").alias("row"), F.col("c").alias("col")).agg((F.count("*") - 1).alias("n")).where("n > 0")
-    return outside.unionByName(over.select(*table, F.lit("overlap").alias("code"), "row", "col", "n"))
+    d = d.where(out.isNotNull()).withColumn("code", F.when(out, "outside").otherwise("overlap"))
+    alone = F.col("code") == "outside"
+    for at, span, slot in (("row", "row_span", "r"), ("col", "col_span", "c")):
+        d = d.withColumn(slot, F.explode(F.when(alone, F.array(at)).otherwise(F.sequence(F.col(at), F.col(at) + F.col(span) - 1))))
+    n = d.groupBy(*table, "code", F.col("r").alias("row"), F.col("c").alias("col")).agg(F.count("*").alias("n"))
+    n = n.where(alone | (F.col("n") > 1)).withColumn("__times", F.explode(F.array_repeat(F.lit(1), F.when(alone, F.col("n")).otherwise(1).cast("int"))))
+    return n.select(*table, "code", "row", "col", F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("n") - 1).alias("n"))
 
 
 def escape(s: Column) -> Column:

@@ -8,6 +8,7 @@ from paperloom.functions import quantity as Q
 from paperloom.operators import graph as G
 from paperloom.operators import tables as TB
 from paperloom.plans.registry import query
+from paperloom.session import dealt
 
 # Cells of one table per order: the line number is the row, the quantity gives the column.
 CELLS = "l_orderkey, l_linenumber - 1 AS row, CAST(l_quantity AS INT) % 4 AS col, 1 + l_linenumber % 2 AS row_span, 1 + l_linenumber % 3 AS col_span, l_returnflag || ' &' || CAST(l_partkey AS STRING) AS text"
@@ -16,7 +17,7 @@ T = ["l_orderkey"]
 
 
 def cells(t):
-    d = t.lineitem.selectExpr(*[x.strip() for x in CELLS.split(", ")])
+    d = dealt(t.lineitem.selectExpr(*[x.strip() for x in CELLS.split(", ")]), T)
     return d.groupBy(*T, "row", "col").agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span"), F.max("text").alias("text"))
 
 
