@@ -13,6 +13,7 @@ from paperloom.functions.latex import INLINE_MATH
 from paperloom.functions.spans import explode_spans, pieces
 from paperloom.functions.text import code_point
 from paperloom.operators.scan import ordered_scan, ordered_text
+from paperloom.session import stored
 
 # Prose line types, list marks, strong bullets, heads that keep their hyphen, section levels.
 PROSE_TYPES = ["text", "title", "quote"]
@@ -456,8 +457,26 @@ def spans_of(flags: DataFrame, key: list[str], order: str, chunk, flag: Column)
 
 def tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Word tokens with line-end hyphens repaired before a lower-case continuation."""
+    return texts.select(key, F.posexplode(_token_list(text)).alias("seq", "token"))
+
+
+def _token_list(text: str) -> Column:
     joined = F.regexp_replace(F.col(text), r"([\p{L}])-\n([a-zäöüß])", "$1$2")
-    return texts.select(key, F.posexplode(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"), 0)).alias("seq", "token"))
+    return F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"), 0)
+
+
+def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, token, n``. The tokens of a key that one row holds are sorted and counted inside the row, so only the keys are
+    shuffled; those of a key in several rows are folded by Spark."""
+    many = stored(texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("__many")))
+    same = F.col(key).eqNullSafe(F.col("__many"))
+    words = texts.join(many, same, "left_anti").select(key, F.sort_array(_token_list(text)).alias("__w"))
+    size = F.size("__w")
+    first = F.filter(F.when(size > 0, F.sequence(F.lit(0), size - 1)), lambda i: (i == 0) | (F.get("__w", i) != F.get("__w", i - 1)))
+    alone = words.select(key, "__w", first.alias("__at"))
+    counted = F.transform("__at", lambda i, k: F.struct(F.get("__w", i).alias("token"), (F.coalesce(F.get("__at", k + 1), size) - i).cast("bigint").alias("n")))
+    rest = tokens(texts.join(many, same, "left_semi"), key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return alone.select(key, F.inline(counted)).unionByName(rest)
 
 
 SENTENCE = r"(?<=[.!?])\s+"
